@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm import bpe, chat, fingerprint, warc
+from tarnlake.llm import bpe, chat, fingerprint, quality, toxicity, warc
 from tarnlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return bpe.read_vocabulary(public_tokenizers.path(name))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
 
@@ -43,10 +47,16 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_warc_normaliser": op3_warc_normaliser,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_bpe": op5_bpe,
     "op7_fingerprints": op7_fingerprints,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {}
