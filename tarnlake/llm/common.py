@@ -81,11 +81,11 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def pieces(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows [a, b) whose bytes stay within limit, or single longer rows."""
+def pieces(off: np.ndarray, limit: int, rows: int = 1 << 14) -> Iterator[tuple[int, int]]:
+    """Runs of rows [a, b) whose bytes and number stay within limits, or single longer rows."""
     a, n = 0, len(off) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + limit, side="right")) - 1)
+        b = min(a + rows, max(a + 1, int(np.searchsorted(off, off[a] + limit, side="right")) - 1))
         yield a, b
         a = b
 
