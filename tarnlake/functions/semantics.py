@@ -107,10 +107,12 @@ def compare(op: str, a: Value, b: Value, compat: bool) -> Value:
         return Value(~compare("=", a, b, True).column, "truth", never_null=True)
     if a.kind == b.kind == "null":
         return Value(F.lit(op == "="), "truth", never_null=True)
-    if plain(a, b) and op == "=":
-        # against a literal, plain equality with its null made false can still be pushed to the scan
-        column = F.coalesce(a.column == b.column, F.lit(False)) if a.never_null or b.never_null else a.column.eqNullSafe(b.column)
-        return Value(column, "truth", never_null=True)
+    if plain(a, b) and op == "=":  # reaches the scan, and is a hash key of joins
+        return Value(a.column.eqNullSafe(b.column), "truth", never_null=True)
+    if plain(a, b) and b.never_null:
+        return Value(a.column.isNull() | (a.column < b.column), "truth", never_null=True)
+    if plain(a, b) and a.never_null:
+        return Value(b.column.isNotNull() & (a.column < b.column), "truth", never_null=True)
     less, same = order(a, b)
     if op == "=":
         column = F.when(a.column.isNull() | b.column.isNull(), a.column.isNull() & b.column.isNull()).otherwise(same)
@@ -179,7 +181,7 @@ def one_of(a: Value, items: list[Value], negated: bool, compat: bool) -> Value:
         column = a.column.isin(*[i.literal for i in items]) if all(i.literal is not None for i in items) else a.column.isin(*[i.column for i in items])
         return Value(~column if negated else column, "truth")
     if all(plain(a, i) and i.literal is not None for i in items):
-        column = F.coalesce(a.column.isin(*[i.literal for i in items]), F.lit(False))
+        column = a.column.isNotNull() & a.column.isin(*[i.literal for i in items])
     else:
         column = F.lit(False)
         for i in items:
