@@ -7,10 +7,11 @@ weights. Bands of ROWS registers give candidates, which the exact similarities o
 pair whose probability Jaccard or whose Jaccard of distinct shingles is at least the threshold.
 
 Equal texts are one class from the start: only one signature of each goes on, so thousands of copies meet no join.
-A band's bucket is linked as a star around its smallest id, never as all pairs. Buckets whose members are still in several
-components are then compared across components, all pairs in small buckets and against each component's smallest id
-in large ones, until no link is new. Components come from label propagation over the links; nothing of this comes to the
-driver but counts.
+A band's bucket is compared as a star around its most central member, which of the copies of one text is mostly that text
+itself, and never as all pairs. A member that isn't linked to the head may be near another one; then they share shingles
+that the head lacks, so the members of a star meet again in buckets by such shingles, again as stars, until no pair is
+new. Pairs whose ends are linked already are left out. At last the buckets of up to SMALL members are compared whole.
+Components come from label propagation over the links; nothing of this comes to the driver but counts.
 
 Defined results: a null text is empty; texts without words are one class of equal texts only if they are equal; a text of fewer
 than five words is one shingle. Case of A-Z and white space don't count for similarity. A class's id is its smallest
@@ -34,8 +35,10 @@ from tarnlake.llm.words import mix, shingles, words
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Similarity to a star's head from which what a member adds is looked at.
+NEAR = 0.4
 #: Members of a bucket up to which all pairs across components are compared.
-SMALL = 40
+SMALL = 6
 CHUNK = 1 << 20
 #: Of a shingle's hash. Above them stands the number of its text in a chunk, so that one sort serves a chunk.
 BITS = 48
@@ -133,20 +136,24 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.where("signature is not null").select("id", "signature").mapInArrow(run, "key bigint, id bigint")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar enough. texts: (id, text) of all that occur."""
+def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the similarity of their whole texts and, for pairs of at least NEAR, the shingles that b has and a lacks. texts: (id, text) of all that occur."""
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("struct<similarity:double,added:array<bigint>>")
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        out: list[float] = []
+        likeness: list[float] = []
+        added: list[np.ndarray] = []
         for k in range(0, len(left), 256):
             (h, x, at), (g, y, to) = (weights(*utf8(c[k : k + 256])) for c in (left, right))
-            out += [similarity(h[at[i] : at[i + 1]], x[at[i] : at[i + 1]], g[to[i] : to[i + 1]], y[to[i] : to[i + 1]]) for i in range(len(at) - 1)]
-        return pa.array(out, pa.float64())
+            for i in range(len(at) - 1):
+                own, other = h[at[i] : at[i + 1]], g[to[i] : to[i + 1]]
+                likeness.append(similarity(own, x[at[i] : at[i + 1]], other, y[to[i] : to[i + 1]]))
+                added.append(np.setdiff1d(other, own, assume_unique=True).astype(np.int64) if likeness[-1] >= NEAR else np.zeros(0, np.int64))
+        return pa.StructArray.from_arrays([pa.array(likeness, pa.float64()), pa.array(added, pa.list_(pa.int64()))], ["similarity", "added"])
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").where(run("left", "right") >= threshold).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", run("left", "right").alias("found")).select("a", "b", "found.*")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -165,24 +172,39 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def stars(buckets: DataFrame) -> DataFrame:
-    """Pairs of each bucket's smallest id with its other members."""
-    least = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most").select("key", "a")
-    return buckets.join(least, "key").where("id > a").select("a", F.col("id").alias("b")).distinct()
+def centrality(buckets: DataFrame) -> DataFrame:
+    """(id, degree): the members of all its buckets. The text that near copies were made from has the most."""
+    size = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return buckets.join(size, "key").groupBy("id").agg(F.sum("n").alias("degree"))
 
 
-def across(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs within buckets but across components: all in buckets of up to SMALL members, else of each member with the smallest member of every other component in the bucket."""
-    marked = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    size = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
-    mixed = store(marked.join(size, "key"), "neardup-mixed")
-    few = mixed.where(F.col("n") <= SMALL)
-    other = few.select("key", F.col("id").alias("b"), F.col("label").alias("other"))
-    small = few.select("key", F.col("id").alias("a"), "label").join(other, "key").where("a < b and label <> other").select("a", "b")
-    many = mixed.where(F.col("n") > SMALL)
-    heads = many.groupBy("key", "label").agg(F.min("id").alias("head")).withColumnRenamed("label", "other")
-    large = many.join(heads, "key").where("label <> other").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-    return small.union(large).distinct()
+def stars(buckets: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's most central member with its other ones."""
+    heads = buckets.join(degrees, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("top")).select("key", (-F.col("top.id")).alias("a"))
+    return buckets.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+def unsettled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    if labels is None:
+        return pairs
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("id").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+    return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
+def finer(checked: DataFrame, threshold: float) -> DataFrame:
+    """(key, id): buckets of the members of one star that differ from its head by the same shingle, where one of them isn't linked to the head. Two near texts of which one isn't near the head share what they don't share with it."""
+    keyed = checked.select(F.col("b").alias("id"), "similarity", "a", F.explode("added").alias("shingle")).select(F.xxhash64("a", "shingle").alias("key"), "id", "similarity")
+    shared = keyed.groupBy("key").agg(F.min("similarity").alias("least"), F.min("id").alias("low"), F.max("id").alias("high")).where((F.col("least") < threshold) & (F.col("low") < F.col("high"))).select("key")
+    return keyed.join(shared, "key", "left_semi").select("key", "id")
+
+
+def within_small(buckets: DataFrame) -> DataFrame:
+    """All pairs of the buckets of up to SMALL members."""
+    size = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > 2 and n <= {SMALL}").select("key")
+    few = buckets.join(size, "key", "left_semi")
+    return few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -195,16 +217,29 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = store(keyed.join(shared, "key", "left_semi"), "neardup-buckets")
     ids = buckets.select("id").distinct()
     texts = store(docs.join(ids, docs.doc_id == ids.id, "left_semi").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["id"]), "neardup-texts")
-    pairs = store(stars(buckets), "neardup-pairs")
-    links = store(verify(pairs, texts, threshold), "neardup-verified")
+    degrees = store(centrality(buckets), "neardup-degrees")
+    links = labels = seen = None
+    rounds, last = buckets, False
     while True:
+        pairs = within_small(buckets) if last else stars(rounds, degrees)
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti").join(seen.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        pairs = store(unsettled(pairs, labels), "neardup-pairs")
+        if not pairs.limit(1).count():
+            if last:
+                break
+            last = True
+            continue
+        checked = store(compare(pairs, texts), "neardup-checked")
+        seen = pairs if seen is None else seen.union(pairs)
+        found = checked.where(F.col("similarity") >= threshold).select("a", "b")
+        links = found if links is None else links.union(found)
         labels = components(links)
-        more = across(buckets, labels).join(pairs, ["a", "b"], "left_anti")
-        more = store(more, "neardup-pairs")
-        found = store(verify(more, texts, threshold), "neardup-verified")
-        if found.limit(1).count() == 0:
+        if last:
             break
-        pairs, links = pairs.union(more), links.union(found)
+        rounds = store(finer(checked, threshold), "neardup-finer")
+    if labels is None:
+        labels = classes.select("id", F.col("id").alias("label")).limit(0)
     named = classes.join(labels, "id", "left").select("same", F.coalesce("label", "id").alias("class_id"))
     out = signed.join(named, "same").select("doc_id", "class_id")
     none = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id"))
