@@ -1,14 +1,15 @@
 """MinHash near-duplicates by ProbMinHash.
 
-A text's weighted shingles are its runs of five words with their counts. Each shingle starts a Poisson process whose
+A text's weighted shingles are its runs of five words, weighted by 1 + ln of their counts. Each shingle starts a Poisson process whose
 rate is its weight; an arrival goes to a random register, which keeps the earliest one, and a process stops once its
 arrivals are later than all registers. Two texts agree in a register with the probability Jaccard similarity of their
-weights. Bands of ROWS registers give candidates, which the exact similarities of their whole texts verify: a link is a
-pair whose probability Jaccard or whose Jaccard of distinct shingles is at least the threshold.
+weights, which is the plain Jaccard similarity where shingles don't repeat. Bands of ROWS registers give candidates,
+which the whole texts verify: a link is a pair whose Jaccard similarity of distinct shingles is at least the threshold,
+so that a line repeated in two texts doesn't make them near.
 
 Equal texts are one class from the start: only one signature of each goes on, so thousands of copies meet no join.
 A band's bucket is compared as a star around its most central member, which of the copies of one text is mostly that text
-itself, and never as all pairs. A member that isn't linked to the head may be near another one; then they share shingles
+itself, and never as all pairs. A member that isn't linked to the head may be near another one; then they mostly share shingles
 that the head lacks, so the members of a star meet again in buckets by such shingles, again as stars, until no pair is
 new. Pairs whose ends are linked already are left out. At last the buckets of up to SMALL members are compared whole.
 Components come from label propagation over the links; nothing of this comes to the driver but counts.
@@ -35,7 +36,7 @@ from tarnlake.llm.words import mix, shingles, words
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Similarity to a star's head from which what a member adds is looked at.
+#: Similarity to a star's head from which what sets a member apart is looked at.
 NEAR = 0.4
 #: Members of a bucket up to which all pairs across components are compared.
 SMALL = 6
@@ -46,7 +47,7 @@ UNIT = 1.0 / (1 << 53)
 
 
 def weights(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of each text in rising order, their counts, and n + 1 offsets."""
+    """The distinct shingles of each text in rising order, their weights, and n + 1 offsets. A weight is 1 + ln of the count."""
     h, at = shingles(words(data, off), SHINGLE)
     n = len(off) - 1
     key = np.sort(np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(BITS), np.diff(at)) | (h >> np.uint64(64 - BITS)))
@@ -54,16 +55,16 @@ def weights(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
     key = key[first]
-    return key & np.uint64((1 << BITS) - 1), np.diff(np.append(first, len(h))), np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(BITS))
+    return key & np.uint64((1 << BITS) - 1), 1 + np.log(np.diff(np.append(first, len(h)))), np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(BITS))
 
 
-def signatures(h: np.ndarray, count: np.ndarray, off: np.ndarray) -> np.ndarray:
+def signatures(h: np.ndarray, weight: np.ndarray, off: np.ndarray) -> np.ndarray:
     """REGISTERS values of 32 bits for each text; zeros for a text without shingles."""
     n = len(off) - 1
     size = np.diff(off)
     doc = np.repeat(np.arange(n), size)
-    total = np.add.reduceat(np.append(count, 0), np.minimum(off[:-1], len(count))) if n else np.zeros(0)
-    rate = count / np.maximum(np.where(size > 0, total, 1), 1)[doc]
+    total = np.add.reduceat(np.append(weight, 0.0), np.minimum(off[:-1], len(weight))) if n else np.zeros(0)
+    rate = weight / np.where(size > 0, total, 1)[doc]
     best = np.full(n * REGISTERS, np.inf)
     owner = np.zeros(n * REGISTERS, np.uint64)
     alive = np.arange(len(h))
@@ -84,22 +85,26 @@ def signatures(h: np.ndarray, count: np.ndarray, off: np.ndarray) -> np.ndarray:
     return (mix(owner) >> np.uint64(32)).astype(np.uint32).reshape(n, REGISTERS) * (size > 0)[:, None].astype(np.uint32)
 
 
-def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
-    """The larger of the probability Jaccard of counts x of shingles a and y of b, and of the Jaccard of a and b."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """What signatures estimate: the probability Jaccard similarity of weights x of shingles a and y of b."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if not len(i):
         return 0.0
-    plain = len(i) / (len(a) + len(b) - len(i))
     p, q = x[i] / x.sum(), y[j] / y.sum()
-    ratio = np.sort(q / p)
     order = np.argsort(q / p, kind="stable")
     p, q = p[order], q[order]
     # for each common d: 1 / sum of max(p' / p, q' / q) over all shingles, where p' / p is larger up to its ratio
     p_rest, q_rest = 1 - p.sum(), 1 - q.sum()
     p_upto, q_after = np.cumsum(p), q.sum() - np.cumsum(q)
-    return max(plain, float((1 / ((p_upto + p_rest) / p + (q_after + q_rest) / q)).sum())) if len(ratio) else plain
+    return float((1 / ((p_upto + p_rest) / p + (q_after + q_rest) / q)).sum())
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two ordered sets of shingles."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -144,10 +149,10 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         likeness: list[float] = []
         added: list[np.ndarray] = []
         for k in range(0, len(left), 256):
-            (h, x, at), (g, y, to) = (weights(*utf8(c[k : k + 256])) for c in (left, right))
+            (h, _, at), (g, _, to) = (weights(*utf8(c[k : k + 256])) for c in (left, right))
             for i in range(len(at) - 1):
                 own, other = h[at[i] : at[i + 1]], g[to[i] : to[i + 1]]
-                likeness.append(similarity(own, x[at[i] : at[i + 1]], other, y[to[i] : to[i + 1]]))
+                likeness.append(similarity(own, other))
                 added.append(np.setdiff1d(other, own, assume_unique=True).astype(np.int64) if likeness[-1] >= NEAR else np.zeros(0, np.int64))
         return pa.StructArray.from_arrays([pa.array(likeness, pa.float64()), pa.array(added, pa.list_(pa.int64()))], ["similarity", "added"])
 
@@ -194,7 +199,7 @@ def unsettled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def finer(checked: DataFrame, threshold: float) -> DataFrame:
-    """(key, id): buckets of the members of one star that differ from its head by the same shingle, where one of them isn't linked to the head. Two near texts of which one isn't near the head share what they don't share with it."""
+    """(key, id): buckets of the members of one star that differ from its head by the same added shingle, where one of them isn't linked to the head. Two near texts of which one isn't near the head mostly share something that the head lacks."""
     keyed = checked.select(F.col("b").alias("id"), "similarity", "a", F.explode("added").alias("shingle")).select(F.xxhash64("a", "shingle").alias("key"), "id", "similarity")
     shared = keyed.groupBy("key").agg(F.min("similarity").alias("least"), F.min("id").alias("low"), F.max("id").alias("high")).where((F.col("least") < threshold) & (F.col("low") < F.col("high"))).select("key")
     return keyed.join(shared, "key", "left_semi").select("key", "id")
