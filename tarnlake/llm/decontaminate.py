@@ -3,7 +3,8 @@
 Texts and benchmark items are lower-cased and split at white space; a shingle is a run of five words (an item of fewer is
 one shingle of its own length). A similarity of at least t to an item of m shingles needs t * m of them, so one of any
 floor((1 - t) * m) + 1 is in the window: the first ones of each item anchor windows of the item's size in the texts, and
-no window that could match goes without one. The SimHash of a window and of an item is the sign of the summed bits of
+no window that could match goes without one. They are found by their longest word, so that a text's words are looked up
+once each. The SimHash of a window and of an item is the sign of the summed bits of
 their shingles, each as often as it occurs. RADIUS + 1 blocks of the 64 bits are joined by equality within windows of one
 size: two values that differ in at most RADIUS bits agree in a block, so all of them are found, each pair once, by its
 first equal block. The similarity of shingle counts (sum of smaller over sum of larger ones) then decides.
@@ -33,8 +34,12 @@ BLOCK = 64 // (RADIUS + 1)
 BROADCAST_ROWS = 200_000
 
 
+WHITE = " \t\n\x0b\f\r"
+
+
 def split_words(text: str) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
+    low = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WHITE))
+    return F.when(low == "", F.array().cast("array<string>")).otherwise(F.split(low, r"[ \t\n\x0B\f\r]+"))
 
 
 def shingles(words: str, size: int) -> Column:
@@ -73,56 +78,64 @@ def similarity(a: str, b: str) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def of_size(words: str, size: Column) -> Column:
+    """The shingles of a column of words whose runs have the size of an item's."""
+    return F.coalesce(*[F.when(size == k, shingles(words, k)) for k in range(SHINGLE, 0, -1)])
+
+
 def prepare_items(items: DataFrame) -> DataFrame:
-    """(item_id, n, size, shingles, item_hash): n words, shingles of size words."""
+    """(item_id, words, n, size, shingles): n words, shingles of size words."""
     items = with_columns(items, item_id="bigint", text="string").select("item_id", split_words("text").alias("words"))
-    whole = [F.when(F.least(F.size("words"), F.lit(SHINGLE)) == k, shingles("words", k)) for k in range(1, SHINGLE + 1)]
-    items = items.where(F.size("words") > 0).select("item_id", F.size("words").alias("n"), F.least(F.size("words"), F.lit(SHINGLE)).alias("size"), F.coalesce(*whole).alias("shingles"))
-    return items.withColumn("item_hash", simhash("shingles"))
+    items = items.where(F.size("words") > 0).select("item_id", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(SHINGLE)).alias("size"))
+    return items.withColumn("shingles", of_size("words", F.col("size")))
+
+
+def anchors_of(items: DataFrame, threshold: float) -> DataFrame:
+    """(word, n, size, before, into, hash): of each anchoring shingle its longest word's hash, the words before it in the item and in the shingle, and the shingle's hash."""
+    need = F.floor(F.size("shingles") * F.lit(1 - threshold) + F.lit(1e-9)) + 1
+    first = items.select("words", "n", "size", F.posexplode(F.slice("shingles", F.lit(1), need.cast("int"))).alias("first", "hash"))
+    first = first.withColumn("piece", F.slice("words", F.col("first") + 1, F.col("size")))
+    lengths = F.transform("piece", F.length)
+    first = first.withColumn("into", (F.array_position(lengths, F.array_max(lengths)) - 1).cast("int"))
+    return first.select(F.xxhash64(F.get("piece", F.col("into"))).alias("word"), "n", "size", (F.col("first") + F.col("into")).alias("before"), "into", "hash").distinct()
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def windows(docs: DataFrame, anchors: DataFrame, size: int, few: bool) -> DataFrame:
-    """(doc_id, n, start, window) around the anchors (hash, n, offset): each distinct window with the anchored place."""
+def windows(docs: DataFrame, anchors: DataFrame, few: bool) -> DataFrame:
+    """(doc_id, n, size, start, window_shingles): each distinct window of an item's size that holds an anchoring shingle in its place. Each word of a text is looked up once."""
     words = docs.select("doc_id", split_words("text").alias("words"))
-    places = words.select("doc_id", *(["words"] if few else []), F.posexplode(shingles("words", size)).alias("pos", "hash"))
-    found = places.join(F.broadcast(anchors) if few else anchors, "hash")
-    start = F.greatest(F.col("pos") - F.col("offset"), F.lit(0))
+    places = words.select("doc_id", *(["words"] if few else []), F.posexplode("words").alias("pos", "at")).withColumn("word", F.xxhash64("at")).drop("at")
+    found = places.join(F.broadcast(anchors) if few else anchors, "word")
     if not few:
-        found = found.select("doc_id", "n", start.alias("start")).distinct().join(words, "doc_id")
-        start = F.col("start")
-    cut = found.select("doc_id", "n", start.alias("start"), F.slice("words", start + 1, F.col("n")).alias("window"))
-    return cut.distinct().select("doc_id", "n", "start", shingles("window", size).alias("window_shingles"))
+        found = found.select("doc_id", "pos", "n", "size", "before", "into", "hash").distinct().join(words, "doc_id")
+    there = F.xxhash64(*[F.get("words", F.col("pos") - F.col("into") + k) for k in range(SHINGLE)])
+    found = found.where((F.col("size") < SHINGLE) | (there == F.col("hash")))
+    start = F.greatest(F.col("pos") - F.col("before"), F.lit(0))
+    cut = found.select("doc_id", "n", "size", start.alias("start"), F.slice("words", start + 1, F.col("n")).alias("window")).distinct()
+    return cut.select("doc_id", "n", "size", "start", of_size("window", F.col("size")).alias("window_shingles"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, start, similarity) of each document and item whose text it holds; start counts words."""
     docs = with_columns(docs, doc_id="bigint", text="string").select("doc_id", "text")
     ready = store(prepare_items(items), "leaks-items")
-    need = F.floor(F.size("shingles") * F.lit(1 - threshold) + F.lit(1e-9)) + 1
-    first = ready.select("size", "n", F.posexplode(F.slice("shingles", F.lit(1), need.cast("int"))).alias("offset", "hash")).distinct()
-    anchors = store(first, "leaks-anchors")
-    index = ready.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(RADIUS)))).withColumn("value", block(F.col("item_hash"), F.col("i")))
-    rows = {r["size"]: r["rows"] for r in anchors.groupBy("size").agg(F.count(F.lit(1)).alias("rows")).collect()}
-    total = ready.count() * (RADIUS + 1)
-    out = None
-    for size in sorted(rows):
-        cut = windows(docs, anchors.where(F.col("size") == size).select("hash", "n", "offset"), size, rows[size] <= BROADCAST_ROWS)
-        cut = cut.withColumn("window_hash", simhash("window_shingles")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(RADIUS)))).withColumn("value", block(F.col("window_hash"), F.col("i")))
-        pairs = cut.join(small(index.where(F.col("size") == size).drop("size"), total), ["n", "i", "value"])
-        differ = F.col("window_hash").bitwiseXOR(F.col("item_hash"))
-        agree = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(RADIUS)), lambda j: block(differ, j)), F.lit(0).cast("bigint")) - 1
-        pairs = pairs.where((F.bit_count(differ) <= RADIUS) & (F.col("i") == agree))
-        found = pairs.withColumn("similarity", similarity("window_shingles", "shingles")).where(F.col("similarity") >= threshold)
-        found = found.select("doc_id", "item_id", "start", "similarity")
-        out = found if out is None else out.union(found)
-    if out is None:
-        return docs.select("doc_id", F.lit(None).cast("bigint").alias("item_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("double").alias("similarity")).limit(0)
+    anchors = store(anchors_of(ready, threshold), "leaks-anchors")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(RADIUS)))
+    index = ready.withColumn("item_hash", simhash("shingles")).withColumn("i", blocks).withColumn("value", block(F.col("item_hash"), F.col("i"))).drop("words", "size")
+    # written first: an expression that the optimiser moves into a lambda would be worked out again for each bit
+    cut = store(windows(docs, anchors, anchors.count() <= BROADCAST_ROWS), "leaks-windows")
+    cut = cut.withColumn("window_hash", simhash("window_shingles"))
+    cut = cut.withColumn("i", blocks).withColumn("value", block(F.col("window_hash"), F.col("i")))
+    pairs = cut.join(small(index, ready.count() * (RADIUS + 1)), ["n", "i", "value"])
+    differ = F.col("window_hash").bitwiseXOR(F.col("item_hash"))
+    agree = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(RADIUS)), lambda j: block(differ, j)), F.lit(0).cast("bigint")) - 1
+    pairs = pairs.where((F.bit_count(differ) <= RADIUS) & (F.col("i") == agree))
+    found = pairs.withColumn("similarity", similarity("window_shingles", "shingles")).where(F.col("similarity") >= threshold)
     best = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("start"))).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.start")).alias("start"), "best.similarity")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.start")).alias("start"), "best.similarity")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
