@@ -93,7 +93,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Evidence:
     """A ridge logistic regression by Newton steps, both kinds with equal weight, so its margin is the ratio itself."""
     d = len(NAMES)
     good = float(y.mean()) if len(y) else 0.5
-    if not 0 < good < 1:
+    if not len(y) or not 0 < good < 1:
         return Evidence(np.zeros(d), np.ones(d), np.zeros(d), 0.0, (y.sum() + 1) / (len(y) + 1) if len(y) else 1.0)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
