@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers.
 
-A run of K characters is an anchor if the smallest hash among its runs of S characters is the first or the last one.
-That depends on the K characters alone, so an edit moves no anchor outside its reach. A fingerprint holds the anchors
+A run of 3 * s characters is an anchor if the smallest hash among its runs of s characters is the first or the last one;
+s is 8, in shorter texts 4 or 2. That depends on these characters alone, so an edit moves no anchor outside its reach. A fingerprint holds the anchors
 with the ANCHORS smallest hashes, each with its first position. Two fingerprints are compared over the smallest hashes
 of their union; a hash in both counts if it lies in the longest run of matches whose positions rise in both texts. The
 share J of these gives the likeness 2J / (1 + J), about the share of text in common.
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from tarnlake.llm.common import partitions, strings, with_columns
 
-K, S, ANCHORS = 24, 8, 64
+ANCHORS = 64
+#: Lengths from which the inner runs have so many characters. An anchor has three times as many.
+TIERS = ((120, 8), (30, 4), (0, 2))
 CHUNK = 1 << 20
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 Sketch = tuple[np.ndarray, np.ndarray, int]  #: hashes in rising order, their positions, the text's code points
@@ -42,40 +44,13 @@ def twice(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def sketches(texts: list[str]) -> list[Sketch]:
-    sizes = np.array([len(t) for t in texts], np.int64)
-    off = np.concatenate([[0], np.cumsum(sizes)])
     out: list[Sketch | None] = [None] * len(texts)
-    h = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-    if len(h) >= K:
-        size = 1
-        while size < S:
-            h, size = twice(h, size), 2 * size
-        span, low = K - S, h
-        step = 1
-        while step * 2 <= span + 1:
-            low, step = np.minimum(low[:-step], low[step:]), step * 2
-        rest = span + 1 - step
-        low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-        first, last = h[: len(low)], h[span : span + len(low)]
-        at = np.flatnonzero((first == low) | (last == low))
-        doc = np.searchsorted(off, at, side="right") - 1
-        inside = at + K <= off[doc + 1]
-        at, doc = at[inside], doc[inside]
-        code = h[at] * A + h[at + S] * B
-        code ^= code >> np.uint64(31)
-        code = (code * B + h[at + 2 * S]) * A
-        code ^= code >> np.uint64(29)
-        code = (code * B) >> np.uint64(16)
-        order = np.lexsort((at, code, doc))
-        at, doc, code = at[order], doc[order], code[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
-        at, doc, code = at[new], doc[new], code[new]
-        cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-        for d in np.unique(doc).tolist():
-            a = cut[d]
-            b = min(cut[d + 1], a + ANCHORS)
-            out[d] = (code[a:b], at[a:b] - off[d], int(sizes[d]))
+    below = 1 << 62
+    for least, inner in TIERS:
+        rows = [i for i, t in enumerate(texts) if least <= len(t) < below]
+        below = least
+        for i, s in zip(rows, anchors([texts[i] for i in rows], inner), strict=True):
+            out[i] = s
     none = np.zeros(0, np.int64)
     for d, t in enumerate(texts):
         if out[d] is None:
@@ -83,6 +58,47 @@ def sketches(texts: list[str]) -> list[Sketch]:
     return out  # type: ignore[return-value]
 
 
+def anchors(texts: list[str], inner: int) -> list[Sketch | None]:
+    """The sketch of each text, None where it has no anchor."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    out: list[Sketch | None] = [None] * len(texts)
+    whole = 3 * inner
+    h = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    if len(h) < whole:
+        return out
+    size = 1
+    while size < inner:
+        h, size = twice(h, size), 2 * size
+    span, low = whole - inner, h
+    step = 1
+    while step * 2 <= span + 1:
+        low, step = np.minimum(low[:-step], low[step:]), step * 2
+    rest = span + 1 - step
+    low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+    first, last = h[: len(low)], h[span : span + len(low)]
+    at = np.flatnonzero((first == low) | (last == low))
+    doc = np.searchsorted(off, at, side="right") - 1
+    inside = at + whole <= off[doc + 1]
+    at, doc = at[inside], doc[inside]
+    code = h[at] * A + h[at + inner] * B
+    code ^= code >> np.uint64(31)
+    code = (code * B + h[at + 2 * inner]) * A
+    code ^= code >> np.uint64(29)
+    code = (code * B) >> np.uint64(16)
+    order = np.lexsort((at, code, doc))
+    at, doc, code = at[order], doc[order], code[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
+    at, doc, code = at[new], doc[new], code[new]
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for d in np.unique(doc).tolist():
+        a = cut[d]
+        b = min(cut[d + 1], a + ANCHORS)
+        out[d] = (code[a:b], at[a:b] - off[d], int(sizes[d]))
+    return out
+
+
 def shown(s: Sketch) -> str:
     """The fingerprint as a string: the text's length, then each anchor's hash and position, in hex."""
     return f"{s[2]:x}:" + ",".join(["%012x.%x" % x for x in zip(s[0].tolist(), s[1].tolist(), strict=True)])

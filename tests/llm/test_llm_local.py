@@ -155,6 +155,12 @@ def test_fingerprints():
     assert back[2] == len(text) and np.array_equal(back[0], a[0]) and np.array_equal(back[1], a[1])
 
 
+def test_short_texts_have_fingerprints():
+    short, other = "a short text of words", "quite another one here"
+    a, b, c = fingerprint.sketches([short, short[:14] + other[:7], other])
+    assert fingerprint.likeness(a, b) > 0.3 > fingerprint.likeness(a, c)
+
+
 def test_syncmers_are_context_free():
     """Anchors of a text are those of each longer text around it."""
     rng = random.Random(5)
