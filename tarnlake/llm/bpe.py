@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import fresh, strings, with_columns
+from tarnlake.llm.common import fresh, with_columns
 from tarnlake.llm.words import RANDOM, SLOTS, STEP
 
 LONG = 1024
@@ -295,6 +295,18 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
+def joined_lists(rows: list[np.ndarray]) -> pa.Array:
+    off = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(x) for x in rows], out=off[1:])
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)))
+
+
+def lists_of(col: pa.Array) -> Iterator[np.ndarray]:
+    """Each list as numbers, null as none."""
+    for x in col:
+        yield x.values.to_numpy(zero_copy_only=False) if x.is_valid and len(x.values) else np.zeros(0, np.int64)
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with the ids of each whole text as an array column. vocabulary: the content of the vocabulary file."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
@@ -302,7 +314,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids")
     @F.arrow_udf("array<int>")
     def run(col: pa.Array) -> pa.Array:
         bpe = model(shared.value)
-        return pa.array(bpe.encode(strings(col)), pa.list_(pa.int32()))
+        return joined_lists([x for part in batches(col) for x in bpe.encode(part)])
 
     return df.withColumn(out, run(F.col(text)))
 
@@ -314,7 +326,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
     @F.arrow_udf("string")
     def run(col: pa.Array) -> pa.Array:
         bpe = model(shared.value)
-        return pa.array([bpe.decode(np.array(x or [], np.int64)).decode() for x in col.to_pylist()], pa.string())
+        return pa.array([bpe.decode(x).decode() for x in lists_of(col)], pa.string())
 
     return df.withColumn(out, run(F.col(ids)))
 
