@@ -10,8 +10,8 @@ so that a line repeated in two texts doesn't make them near.
 Equal texts are one class from the start: only one signature of each goes on, so thousands of copies meet no join.
 A band's bucket is compared as a star around its most central member, which of the copies of one text is mostly that text
 itself, and never as all pairs. A member that isn't linked to the head may be near another one; then they mostly share shingles
-that the head lacks, so the members of a star meet again in buckets by such shingles, again as stars, until no pair is
-new. Pairs whose ends are linked already are left out. At last the buckets of up to SMALL members are compared whole.
+that the head lacks, so the members of a star meet again in buckets by such shingles, again as stars, for as long as
+a round finds links. Pairs whose ends are linked already are left out. At last the buckets of up to SMALL members are compared whole.
 Components come from label propagation over the links; nothing of this comes to the driver but counts.
 
 Defined results: a null text is empty; texts without words are one class of equal texts only if they are equal; a text of fewer
@@ -238,11 +238,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         checked = store(compare(pairs, texts), "neardup-checked")
         seen = pairs if seen is None else seen.union(pairs)
         found = checked.where(F.col("similarity") >= threshold).select("a", "b")
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        any_found = found.limit(1).count() > 0
+        if any_found:
+            links = found if links is None else links.union(found)
+            labels = components(links)
         if last:
             break
-        rounds = store(finer(checked, threshold), "neardup-finer")
+        if any_found:
+            rounds = store(finer(checked, threshold), "neardup-finer")
+        last = not any_found
     if labels is None:
         labels = classes.select("id", F.col("id").alias("label")).limit(0)
     named = classes.join(labels, "id", "left").select("same", F.coalesce("label", "id").alias("class_id"))
