@@ -10,8 +10,8 @@ so that a line repeated in two texts doesn't make them near.
 Equal texts are one class from the start: only one signature of each goes on, so thousands of copies meet no join.
 A band's bucket is compared as a star around its most central member, which of the copies of one text is mostly that text
 itself, and never as all pairs. A member that isn't linked to the head may be near another one; then they mostly share shingles
-that the head lacks, so the members of a star meet again in buckets by such shingles, again as stars, for as long as
-a round finds links. Pairs whose ends are linked already are left out. At last the buckets of up to SMALL members are compared whole.
+that the head lacks, so the members of a star meet again in buckets by such shingles, again as stars, until no pair is
+new. Pairs whose ends are linked already are left out. At last the buckets of up to SMALL members are compared whole.
 Components come from label propagation over the links; nothing of this comes to the driver but counts.
 
 Defined results: a null text is empty; texts without words are one class of equal texts only if they are equal; a text of fewer
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import fresh, pieces, store, utf8, with_columns
+from tarnlake.llm.common import discard, fresh, pieces, store, utf8, with_columns
 from tarnlake.llm.words import mix, shingles, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -165,15 +165,17 @@ def components(links: DataFrame) -> DataFrame:
     """(id, label) of every id of the links (a, b): the smallest id of its component. Each round, a node takes the smallest label around it and then that label's own label, so chains halve."""
     both = store(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neardup-links")
     labels = both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("id"), F.least("a", "near").alias("label"))
-    labels = store(labels, "neardup-labels")
+    labels = read = store(labels, "neardup-labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         better = labels.join(near, labels.id == near.a).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = better.select(F.col("id").alias("label"), F.col("label").alias("next"))
         better = store(better.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "neardup-labels")
         changed = better.where("label < old").limit(1).count()
-        labels = better.select("id", "label")
+        discard(read)
+        labels, read = better.select("id", "label"), better
         if not changed:
+            discard(both)
             return labels
 
 
@@ -212,6 +214,14 @@ def within_small(buckets: DataFrame) -> DataFrame:
     return few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
 
 
+def grown(old: DataFrame | None, new: DataFrame, name: str) -> DataFrame:
+    """One stored table of both in place of old, so that no plan grows with the rounds."""
+    both = store(new if old is None else old.union(new), name)
+    if old is not None:
+        discard(old)
+    return both
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, keep) of each row."""
     docs = with_columns(docs, doc_id="bigint", text="string").select(F.col("doc_id").cast("bigint"), "text")
@@ -236,17 +246,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             last = True
             continue
         checked = store(compare(pairs, texts), "neardup-checked")
-        seen = pairs if seen is None else seen.union(pairs)
+        seen = grown(seen, pairs, "neardup-seen")
+        discard(pairs)
         found = checked.where(F.col("similarity") >= threshold).select("a", "b")
-        any_found = found.limit(1).count() > 0
-        if any_found:
-            links = found if links is None else links.union(found)
+        if found.limit(1).count():
+            links = grown(links, found, "neardup-found")
             labels = components(links)
         if last:
             break
-        if any_found:
-            rounds = store(finer(checked, threshold), "neardup-finer")
-        last = not any_found
+        # a round without a link may still have had the wrong heads: only one without a new pair is the last
+        coarser, rounds = rounds, store(finer(checked, threshold), "neardup-finer")
+        discard(checked)
+        if coarser is not buckets:
+            discard(coarser)
     if labels is None:
         labels = classes.select("id", F.col("id").alias("label")).limit(0)
     named = classes.join(labels, "id", "left").select("same", F.coalesce("label", "id").alias("class_id"))

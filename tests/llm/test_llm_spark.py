@@ -115,6 +115,19 @@ def test_near_duplicates_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == label
 
 
+def test_near_duplicates_after_a_round_without_links(spark, monkeypatch):
+    """All in one bucket whose head links to none: two members that are near each other meet by what the head lacks."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "bands", lambda classes: classes.select(F.lit(1).alias("key"), "id"))
+    own = lambda i, n: [f"own{i}x{k}" for k in range(n)]
+    texts = [BASE, *(BASE[: 110 - i] + own(i, 40) for i in range(1, 9))]
+    texts += [BASE[:110] + own(9, 40), BASE[:110] + own(9, 39) + ["last"]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert got == {**{i: i for i in range(10)}, 10: 9}
+
+
 def test_decontamination(spark, docs, none, rows):
     item = rows[0]
     items = spark.createDataFrame([(1, item, "x"), (2, None, "y"), (3, "", "z"), (4, "one TWO", ""), (5, item, ""), (6, prose(30), "")], "item_id bigint, text string, doc_id string")
