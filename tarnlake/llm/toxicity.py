@@ -3,10 +3,11 @@
 A word's embedding is the mean of hashed rows: of the whole word and of its first 3 to 6 bytes. Filters over one, two
 and three neighbouring words slide over the whole text, the largest value of each is kept, and a logistic layer scores
 them. The embedding's first column starts as the rows' log-odds in the training texts; all else is trained by AdaGrad.
-A score is shifted so that 0.5 is the best threshold of the text's language, found on training rows kept apart; the
+A score is shifted so that 0.5 is the best threshold of the text's language, found on all training rows kept apart; the
 language is told from function words of the text itself, so no other column is an input of a score.
 
-The model is fitted on at most SAMPLE labelled rows of each kind, the first by a hash of the id.
+The model is fitted on at most SAMPLE labelled rows of each kind, the first by a hash of the id. Thresholds sample nothing:
+the executors score every labelled document kept apart, and the driver gets counts by language and STEPS of a logit.
 
 Defined results: a null text is empty; a text without words has the score of the bias. Equal texts have equal scores.
 Without labels of both kinds every score is the smoothed share of toxic labels. Very long texts are scored whole. Other
@@ -26,6 +27,8 @@ from tarnlake.llm.common import fresh, pieces, remainder, utf8, with_columns
 from tarnlake.llm.words import Words, mix, words
 
 SAMPLE = 2000
+#: To a logit, of the counts that thresholds are chosen from.
+STEPS = 256
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6)
 EPOCHS, RATE = 3, 0.05
@@ -74,6 +77,11 @@ class Cnn:
 
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The score of each text."""
+        logit, language = self.logits(data, off)
+        return 1 / (1 + np.exp(-np.clip(logit - self.shift[language], -30, 30)))
+
+    def logits(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unshifted logit and the language of each text."""
         w = words(data, off)
         logit, language = np.full(len(off) - 1, self.base), np.full(len(off) - 1, len(LANGUAGES) - 1)
         full = np.flatnonzero(np.diff(w.offsets))
@@ -82,7 +90,7 @@ class Cnn:
             pooled = self.pool(features(w, first), inverse, w.offsets, full)[0]
             logit[full] += (np.maximum(pooled + self.bias, 0) * self.out).sum((1, 2))
             language[full] = tell(distinct, inverse, w.offsets, full)
-        return 1 / (1 + np.exp(-np.clip(logit - self.shift[language], -30, 30)))
+        return logit, language
 
     def pool(self, rows: np.ndarray, inverse: np.ndarray, off: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """The largest value of each filter by text, and the values at each position; beyond a text's end stand zeros."""
@@ -183,50 +191,78 @@ def fit(texts: list[str], y: np.ndarray, apart: np.ndarray, seed: int = 5) -> Cn
                 x -= RATE * g / np.sqrt(s)
             base_sum += error * error
             cnn.base -= RATE * error / np.sqrt(base_sum)
-    calibrate(cnn, texts, y, np.flatnonzero(apart) if len(set(y[apart])) == 2 else learn)
+    rows = np.flatnonzero(apart) if len(set(y[apart])) == 2 else learn
+    raw = [(texts[i] or "").encode() for i in rows]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    logit, language = logits_of(cnn, data, off)
+    calibrate(cnn, language, 1 - y[rows], y[rows], logit, logit)
     return cnn
 
 
-def calibrate(cnn: Cnn, texts: list[str], y: np.ndarray, rows: np.ndarray) -> None:
-    """Sets the shift of each language to the threshold of the largest F1, in the middle of the gap around it; a language with fewer than five rows of a kind has that of all."""
-    raw = [(texts[i] or "").encode() for i in rows]
-    data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-    p = np.concatenate([cnn.scores(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in pieces(off, CHUNK)])
-    logit = np.log(p / (1 - p))
-    w = words(data, off)
-    language = np.full(len(rows), len(LANGUAGES) - 1)
-    full = np.flatnonzero(np.diff(w.offsets))
-    if len(full):
-        distinct, inverse = np.unique(w.hashes, return_inverse=True)
-        language[full] = tell(distinct, inverse, w.offsets, full)
-    target = y[rows]
+def logits_of(cnn: Cnn, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logits, within 30 of zero, and languages of the texts, a piece of them at a time."""
+    parts = [cnn.logits(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in pieces(off, CHUNK)] or [(np.zeros(0), np.zeros(0, np.int64))]
+    return np.clip(np.concatenate([x for x, _ in parts]), -30, 30), np.concatenate([x for _, x in parts])
+
+
+def calibrate(cnn: Cnn, language: np.ndarray, clean: np.ndarray, toxic: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    """Sets the shift of each language to the threshold of the largest F1, in the middle of the gap around it; a language with fewer than five rows of a kind has that of all. An entry counts the rows of a language whose logits lie from low to high."""
 
     def best(part: np.ndarray) -> float:
-        order = np.argsort(-logit[part], kind="stable")
-        hit = np.cumsum(target[part][order])
-        f1 = 2 * hit / (np.arange(1, len(order) + 1) + max(target[part].sum(), 1))
-        k = int(f1.argmax())
-        value = logit[part][order]
-        below = value[k + 1] if k + 1 < len(value) else value[k] - 1
-        return float((value[k] + below) / 2)
-
-    cnn.shift[:] = best(np.arange(len(rows)))
+        part = part[np.argsort(-low[part], kind="stable")]
+        hit, total = np.cumsum(toxic[part]), np.cumsum(clean[part] + toxic[part])
+        k = int((2 * hit / (total + max(hit[-1], 1))).argmax())
+        # entries of other languages may reach into the gap
+        below = high[part][k + 1 :].max() if k + 1 < len(part) else low[part][k] - 1
+        return float((low[part][k] + min(below, low[part][k])) / 2)
+
+    cnn.shift[:] = best(np.arange(len(low)))
     for i in range(len(LANGUAGES)):
         part = np.flatnonzero(language == i)
-        if min((target[part] == 1).sum(), (target[part] == 0).sum()) >= 5:
+        if min(toxic[part].sum(), clean[part].sum()) >= 5:
             cnn.shift[i] = best(part)
 
 
+def counts(docs: DataFrame, labels: DataFrame, cnn: Cnn) -> list[np.ndarray]:
+    """Of the labelled documents, each once, what calibrate() takes: languages, clean and toxic rows, least and largest logits by language and step."""
+    shared = docs.sparkSession.sparkContext.broadcast(cnn)
+
+    @F.arrow_udf("struct<logit:double,language:int>")
+    def run(col: pa.Array) -> pa.Array:
+        logit, language = logits_of(shared.value, *utf8(col))
+        return pa.StructArray.from_arrays([pa.array(logit, pa.float64()), pa.array(language, pa.int32())], ["logit", "language"])
+
+    scored = docs.select("doc_id", run("text").alias("at")).join(labels, "doc_id")
+    one = scored.groupBy("doc_id").agg(F.min("at").alias("at"), F.max("toxic").alias("toxic")).select("at.*", "toxic")
+    totals = [F.sum(1 - F.col("toxic")), F.sum("toxic"), F.min("logit"), F.max("logit")]
+    found = one.groupBy("language", F.floor(F.col("logit") * STEPS).alias("step")).agg(*totals).drop("step").collect()
+    return [np.array(x) for x in zip(*found, strict=True)]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cnn:
-    """Learns from labelled rows whose remainder isn't 0; those with remainder 4 set the thresholds."""
+    """Learns from labelled rows whose remainder isn't 0; all those with remainder 4 set the thresholds, or the others where they lack a kind."""
     spark = docs.sparkSession
     labels = with_columns(labels, doc_id="bigint", toxic="int").where("doc_id is not null and toxic is not null").where(remainder("doc_id") != 0)
-    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = [r for kind in (0, 1) for r in labels.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    apart = remainder("doc_id") == 4
+    docs = docs.select("doc_id", "text")
+    ids = [r for kind in (0, 1) for r in labels.where((F.col("toxic") == kind) & ~apart).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     chosen = F.broadcast(spark.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in ids], "doc_id bigint, toxic int"))
-    rows = {r["doc_id"]: r for r in docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("apart", remainder("doc_id") == 4).collect()}
+    rows = {r["doc_id"]: r for r in docs.join(chosen, "doc_id").collect()}
     kept = [rows[k] for k in sorted(rows)]
-    return fit([r["text"] or "" for r in kept], np.array([r["toxic"] for r in kept], np.int64), np.array([r["apart"] for r in kept], bool))
+    y = np.array([r["toxic"] for r in kept], np.int64)
+    cnn = fit([r["text"] or "" for r in kept], y, np.zeros(len(y), bool))
+    if len(set(y)) < 2:
+        n, toxic = docs.select("doc_id").distinct().join(labels, "doc_id").agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+        rate = (toxic + 0.5) / (n + 1) if n else 0.01
+        cnn.base = float(np.log(rate / (1 - rate)))
+        return cnn
+    for fold in (apart, ~apart & (remainder("doc_id") != 0)):
+        found = counts(docs.where(fold), labels.where(fold), cnn)
+        if found and min(found[1].sum(), found[2].sum()):
+            calibrate(cnn, *found)
+            break
+    return cnn
 
 
 def score(docs: DataFrame, cnn: Cnn, text: str = "text", out: str = "score") -> DataFrame:

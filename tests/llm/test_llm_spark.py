@@ -206,6 +206,18 @@ def test_toxicity(docs, none, labels):
     assert toxicity.classify(none, labels).count() == 0 and toxicity.classify(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_toxicity_thresholds_from_all_rows_kept_apart(spark):
+    """However few rows are fitted, the threshold is the best one over every labelled row of its fold."""
+    rng = random.Random(12)
+    rows = [(i, int(i % 9 == 0)) for i in range(4000)]
+    texts = [(i, f"word zo{rng.choices(range(10), [(k + 1 if y else 10 - k) ** 2 for k in range(10)])[0]}mark") for i, y in rows]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    model = toxicity.train(docs, spark.createDataFrame(rows, "doc_id bigint, toxic int"), 150)
+    fold = [(r["score"], dict(rows)[r["doc_id"]]) for r in toxicity.score(docs.where("crc32(string(doc_id)) % 5 = 4"), model).collect()]
+    f1 = lambda least: 2 * sum(y for s, y in fold if s >= least) / (sum(s >= least for s, _ in fold) + sum(y for _, y in fold))
+    assert len(fold) > 700 and f1(0.5) > max(f1(s) for s, _ in fold) - 0.005
+
+
 def test_labels_column_changes_no_score(docs, labels):
     from pyspark.sql import functions as F
 
