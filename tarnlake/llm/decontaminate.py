@@ -10,7 +10,7 @@ size: two values that differ in at most RADIUS bits agree in a block, so all of
 first equal block. The similarity of shingle counts (sum of smaller over sum of larger ones) then decides.
 
 The items' tables are broadcast only if they have at most BROADCAST_ROWS rows; else the joins shuffle hashes, and the
-texts of anchored documents are fetched by id.
+texts of anchored documents are fetched by a hash of id and text.
 
 Defined results: null texts are empty; an item without words matches nothing; items of equal text each match; repeated
 rows and several windows of a document give one row with the largest similarity, ties to the smallest place. A null id
@@ -106,11 +106,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def windows(docs: DataFrame, anchors: DataFrame, few: bool) -> DataFrame:
     """(doc_id, n, size, start, window_shingles): each distinct window of an item's size that holds an anchoring shingle in its place. Each word of a text is looked up once."""
-    words = docs.select("doc_id", split_words("text").alias("words"))
-    places = words.select("doc_id", *(["words"] if few else []), F.posexplode("words").alias("pos", "at")).withColumn("word", F.xxhash64("at")).drop("at")
+    words = docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), split_words("text").alias("words"))
+    places = words.select(*(["doc_id", "words"] if few else ["row"]), F.posexplode("words").alias("pos", "at")).withColumn("word", F.xxhash64("at")).drop("at")
     found = places.join(F.broadcast(anchors) if few else anchors, "word")
     if not few:
-        found = found.select("doc_id", "pos", "n", "size", "before", "into", "hash").distinct().join(words, "doc_id")
+        # by a key of the whole row, since a null id equals none; rows of one key give the same windows
+        found = found.select("row", "pos", "n", "size", "before", "into", "hash").distinct().join(words, "row")
     there = F.xxhash64(*[F.get("words", F.col("pos") - F.col("into") + k) for k in range(SHINGLE)])
     found = found.where((F.col("size") < SHINGLE) | (there == F.col("hash")))
     start = F.greatest(F.col("pos") - F.col("before"), F.lit(0))

@@ -161,6 +161,13 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
         assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, table_of).collect()} == want
 
 
+def test_decontamination_of_null_ids_both_ways(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(1, "a text without id")], "item_id bigint, text string")
+    for bound in (decontaminate.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
+        assert [(r["doc_id"], r["item_id"], r["start"]) for r in decontaminate.leaks(docs, items).collect()] == [(None, 1, 0)]
+
+
 def test_simhash_blocks_find_all_within_the_radius(spark):
     rng = random.Random(1)
     for bits in (0, 1, decontaminate.RADIUS):
