@@ -2,8 +2,9 @@
 
 Texts and benchmark items are lower-cased and split at white space; a shingle is a run of five words (an item of fewer is
 one shingle of its own length). A similarity of at least t to an item of m shingles needs t * m of them, so one of any
-floor((1 - t) * m) + 1 is in the window: the first ones of each item anchor windows of the item's size in the texts, and
-no window that could match goes without one. They are found by their longest word, so that a text's words are looked up
+floor((1 - t) * m) + 1 is in the window: the first ones of each item anchor windows of the item's size in the texts. Words
+put in or left out shift an anchor, so each window that holds it anywhere is tried, if enough of its shingles are the
+item's; no window that could match goes without one. Anchors are found by their longest word, so that a text's words are looked up
 once each. The SimHash of a window and of an item is the sign of the summed bits of
 their shingles, each as often as it occurs. RADIUS + 1 blocks of the 64 bits are joined by equality within windows of one
 size: two values that differ in at most RADIUS bits agree in a block, so all of them are found, each pair once, by its
@@ -91,31 +92,52 @@ def prepare_items(items: DataFrame) -> DataFrame:
 
 
 def anchors_of(items: DataFrame, threshold: float) -> DataFrame:
-    """(word, n, size, before, into, hash): of each anchoring shingle its longest word's hash, the words before it in the item and in the shingle, and the shingle's hash."""
+    """(item, word, n, size, before, into, hash): of each anchoring shingle its longest word's hash, the words before it in the item and in the shingle, and the shingle's hash."""
     need = F.floor(F.size("shingles") * F.lit(1 - threshold) + F.lit(1e-9)) + 1
-    first = items.select("words", "n", "size", F.posexplode(F.slice("shingles", F.lit(1), need.cast("int"))).alias("first", "hash"))
+    first = items.select(F.xxhash64("words").alias("item"), "words", "n", "size", F.posexplode(F.slice("shingles", F.lit(1), need.cast("int"))).alias("first", "hash"))
     first = first.withColumn("piece", F.slice("words", F.col("first") + 1, F.col("size")))
     lengths = F.transform("piece", F.length)
     first = first.withColumn("into", (F.array_position(lengths, F.array_max(lengths)) - 1).cast("int"))
-    return first.select(F.xxhash64(F.get("piece", F.col("into"))).alias("word"), "n", "size", (F.col("first") + F.col("into")).alias("before"), "into", "hash").distinct()
+    return first.select("item", F.xxhash64(F.get("piece", F.col("into"))).alias("word"), "n", "size", (F.col("first") + F.col("into")).alias("before"), "into", "hash").distinct()
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def windows(docs: DataFrame, anchors: DataFrame, few: bool) -> DataFrame:
-    """(doc_id, n, size, start, window_shingles): each distinct window of an item's size that holds an anchoring shingle in its place. Each word of a text is looked up once."""
+def windows(docs: DataFrame, items: DataFrame, anchors: DataFrame, few: bool, threshold: float) -> DataFrame:
+    """(doc_id, n, size, start, window_shingles): each distinct window of an item's size that holds an anchoring shingle, in its place or with enough shingles of the item. Each word of a text is looked up once."""
     words = docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), split_words("text").alias("words"))
     places = words.select(*(["doc_id", "words"] if few else ["row"]), F.posexplode("words").alias("pos", "at")).withColumn("word", F.xxhash64("at")).drop("at")
     found = places.join(F.broadcast(anchors) if few else anchors, "word")
     if not few:
         # by a key of the whole row, since a null id equals none; rows of one key give the same windows
-        found = found.select("row", "pos", "n", "size", "before", "into", "hash").distinct().join(words, "row")
+        found = found.select("item", "row", "pos", "n", "size", "before", "into", "hash").distinct().join(words, "row")
     there = F.xxhash64(*[F.get("words", F.col("pos") - F.col("into") + k) for k in range(SHINGLE)])
     found = found.where((F.col("size") < SHINGLE) | (there == F.col("hash")))
-    start = F.greatest(F.col("pos") - F.col("before"), F.lit(0))
-    cut = found.select("doc_id", "n", "size", start.alias("start"), F.slice("words", start + 1, F.col("n")).alias("window")).distinct()
+    # all full windows with the anchor, from low to high, and the one with the anchor in its place, which a text's end may cut
+    place, last = F.col("pos") - F.col("into"), F.greatest(F.size("words") - F.col("n"), F.lit(0))
+    found = found.withColumn("low", F.greatest(F.least(place - F.col("n") + F.col("size"), last), F.lit(0)))
+    found = found.withColumn("high", F.greatest(F.least(place, last), F.col("low"))).withColumn("aligned", F.greatest(F.col("pos") - F.col("before"), F.lit(0)))
+    region = F.slice("words", F.col("low") + 1, F.greatest("high", "aligned") - F.col("low") + F.col("n"))
+    found = found.select("doc_id", "item", "n", "size", "low", "high", "aligned", region.alias("region")).distinct()
+    profiles = items.select(F.xxhash64("words").alias("item"), "shingles").dropDuplicates(["item"])
+    found = found.join(F.broadcast(profiles) if few else profiles, "item")
+    held = F.transform(of_size("region", F.col("size")), lambda h: F.array_contains("shingles", h))
+
+    def enough(hits: Column) -> Column:
+        """The starts of windows of which so many shingles are the item's that they could reach the threshold."""
+
+        def could(start: Column) -> Column:
+            window = F.slice(hits, start - F.col("low") + 1, F.size("shingles"))
+            return F.size(F.filter(window, lambda x: x)) * (1 + threshold) >= threshold * (F.size(window) + F.size("shingles")) - 1e-9
+
+        return F.filter(F.sequence("low", "high"), could)
+
+    # bound by a lambda, so that it is worked out once for all starts
+    starts = F.array_union(F.get(F.transform(F.array(held), enough), F.lit(0)), F.array("aligned"))
+    found = found.select("doc_id", "n", "size", "low", "region", F.explode(starts).alias("start"))
+    cut = found.select("doc_id", "n", "size", "start", F.slice("region", F.col("start") - F.col("low") + 1, F.col("n")).alias("window")).distinct()
     return cut.select("doc_id", "n", "size", "start", of_size("window", F.col("size")).alias("window_shingles"))
 
 
@@ -127,7 +149,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     blocks = F.explode(F.sequence(F.lit(0), F.lit(RADIUS)))
     index = ready.withColumn("item_hash", simhash("shingles")).withColumn("i", blocks).withColumn("value", block(F.col("item_hash"), F.col("i"))).drop("words", "size")
     # written first: an expression that the optimiser moves into a lambda would be worked out again for each bit
-    cut = store(windows(docs, anchors, anchors.count() <= BROADCAST_ROWS), "leaks-windows")
+    cut = store(windows(docs, ready, anchors, anchors.count() <= BROADCAST_ROWS, threshold), "leaks-windows")
     cut = cut.withColumn("window_hash", simhash("window_shingles"))
     cut = cut.withColumn("i", blocks).withColumn("value", block(F.col("window_hash"), F.col("i")))
     pairs = cut.join(small(index, ready.count() * (RADIUS + 1)), ["n", "i", "value"])

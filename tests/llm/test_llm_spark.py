@@ -161,6 +161,25 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
         assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, table_of).collect()} == want
 
 
+def test_decontamination_of_shifted_windows(spark, monkeypatch):
+    """Words put in, left out or moved, so that windows beside the aligned ones are the best."""
+    rng = random.Random(21)
+    bag = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    near = lambda a, b: sum((bag(a) & bag(b)).values()) / sum((bag(a) | bag(b)).values())
+    items, texts = [], []
+    for k in range(4):
+        item, other = ([f"{rng.choice(VOCABULARY)}{i}" for i in range(60)] for _ in range(2))
+        changed = [item[30:] + item[:30], item[:8] + ["new"] + item[8:], item[:20] + item[22:], item[12:] + item[:12]][k]
+        items.append(item)
+        texts.append(other[:30] + changed + other[30:])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    table_of = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id bigint, text string")
+    for bound in (decontaminate.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
+        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(docs, table_of).collect()}
+        assert got == {(i, i): pytest.approx(max(near(t[s : s + 60], items[i]) for s in range(len(t) - 59))) for i, t in enumerate(texts)}
+
+
 def test_decontamination_of_null_ids_both_ways(spark, docs, monkeypatch):
     items = spark.createDataFrame([(1, "a text without id")], "item_id bigint, text string")
     for bound in (decontaminate.BROADCAST_ROWS, 0):
