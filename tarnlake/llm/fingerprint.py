@@ -1,19 +1,21 @@
 """Document fingerprints from closed syncmers.
 
-A run of 3 * s characters is an anchor if the smallest hash among its runs of s characters is the first or the last one;
-s is 8, in shorter texts 4 or 2. That depends on these characters alone, so an edit moves no anchor outside its reach. A fingerprint holds the anchors
-with the ANCHORS smallest hashes, each with its first position. Two fingerprints are compared over the smallest hashes
-of their union; a hash in both counts if it lies in the longest run of matches whose positions rise in both texts. The
-share J of these gives the likeness 2J / (1 + J), about the share of text in common.
+A run of ANCHOR characters is an anchor if the smallest hash among its runs of INNER characters is the first or the last
+one. That depends on these characters alone, so an edit moves no anchor outside its reach. A fingerprint holds every
+anchor of the whole text, with its position: it grows with the text, and texts of all lengths have the same anchors. Two
+fingerprints are compared by position: the k-th occurrence of a hash in one meets the k-th in the other, and of these
+matches the longest run whose positions rise in both counts. The likeness is 2 L / (a + b), L matches of a and b anchors,
+about the share of text in common.
 
 Defined results: a null text is empty; an empty text's fingerprint has no anchors, and two empty ones have likeness 1,
-one empty one 0. A text without an anchor has its own hash as the only one. Equal texts have equal fingerprints. In the
-descending order of doc_id, null ids come last and rows of one id go by text. An only row is its own next. Extra columns
-are ignored.
+one empty one 0. A text without an anchor (most often one shorter than ANCHOR) has its own hash as the only one. Equal
+texts have equal fingerprints. In the descending order of doc_id, null ids come last and rows of one id go by text. An
+only row is its own next. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -26,12 +28,11 @@ from pyspark.sql import functions as F
 
 from tarnlake.llm.common import partitions, strings, with_columns
 
-ANCHORS = 64
-#: Lengths from which the inner runs have so many characters. An anchor has three times as many.
-TIERS = ((120, 8), (30, 4), (0, 2))
+#: Characters of an anchor and of the runs within. One in (ANCHOR - INNER + 1) / 2 runs is an anchor.
+INNER, ANCHOR = 4, 12
 CHUNK = 1 << 20
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-Sketch = tuple[np.ndarray, np.ndarray, int]  #: hashes in rising order, their positions, the text's code points
+Sketch = tuple[np.ndarray, np.ndarray, int]  #: 32-bit hashes in the text's order, their positions, the text's code points
 
 
 def twice(h: np.ndarray, size: int) -> np.ndarray:
@@ -43,30 +44,29 @@ def twice(h: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def sketches(texts: list[str]) -> list[Sketch]:
-    out: list[Sketch | None] = [None] * len(texts)
-    below = 1 << 62
-    for least, inner in TIERS:
-        rows = [i for i, t in enumerate(texts) if least <= len(t) < below]
-        below = least
-        for i, s in zip(rows, anchors([texts[i] for i in rows], inner), strict=True):
-            out[i] = s
-    none = np.zeros(0, np.int64)
+def sketches(texts: list[str], inner: int = INNER, whole: int = ANCHOR) -> list[Sketch]:
+    sizes = np.array([len(t) for t in texts], np.int64)
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    at, code = anchors("".join(texts), inner, whole)
+    doc = np.searchsorted(off, at, side="right") - 1
+    inside = at + whole <= off[doc + 1]
+    at, code = at[inside], code[inside]
+    cut = np.searchsorted(at, off)
+    out = []
     for d, t in enumerate(texts):
-        if out[d] is None:
-            out[d] = (np.array([xxhash.xxh64_intdigest(t) >> 16], np.uint64), np.zeros(1, np.int64), len(t)) if t else (none.astype(np.uint64), none, 0)
-    return out  # type: ignore[return-value]
+        a, b = cut[d], cut[d + 1]
+        if a == b and t:
+            out.append((np.array([xxhash.xxh64_intdigest(t) >> 32], np.uint32), np.zeros(1, np.int64), len(t)))
+        else:
+            out.append((code[a:b], at[a:b] - off[d], len(t)))
+    return out
 
 
-def anchors(texts: list[str], inner: int) -> list[Sketch | None]:
-    """The sketch of each text, None where it has no anchor."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    off = np.concatenate([[0], np.cumsum(sizes)])
-    out: list[Sketch | None] = [None] * len(texts)
-    whole = 3 * inner
-    h = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+def anchors(joined: str, inner: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where anchors begin in the text, and their hashes."""
+    h = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
     if len(h) < whole:
-        return out
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
     size = 1
     while size < inner:
         h, size = twice(h, size), 2 * size
@@ -76,62 +76,78 @@ def anchors(texts: list[str], inner: int) -> list[Sketch | None]:
         low, step = np.minimum(low[:-step], low[step:]), step * 2
     rest = span + 1 - step
     low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    first, last = h[: len(low)], h[span : span + len(low)]
-    at = np.flatnonzero((first == low) | (last == low))
-    doc = np.searchsorted(off, at, side="right") - 1
-    inside = at + whole <= off[doc + 1]
-    at, doc = at[inside], doc[inside]
-    code = h[at] * A + h[at + inner] * B
-    code ^= code >> np.uint64(31)
-    code = (code * B + h[at + 2 * inner]) * A
-    code ^= code >> np.uint64(29)
-    code = (code * B) >> np.uint64(16)
-    order = np.lexsort((at, code, doc))
-    at, doc, code = at[order], doc[order], code[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
-    at, doc, code = at[new], doc[new], code[new]
-    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-    for d in np.unique(doc).tolist():
-        a = cut[d]
-        b = min(cut[d + 1], a + ANCHORS)
-        out[d] = (code[a:b], at[a:b] - off[d], int(sizes[d]))
-    return out
+    at = np.flatnonzero((h[: len(low)] == low) | (h[span : span + len(low)] == low))
+    code = np.zeros(len(at), np.uint64)
+    for k in range(0, whole, inner):
+        code = (code ^ h[at + k]) * A
+        code ^= code >> np.uint64(31)
+    return at, (code * B >> np.uint64(32)).astype(np.uint32)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Seven bits a byte, the last byte of a number without its top bit."""
+    width = 1 + sum((numbers >> 7 * k > 0).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(width)
+    place = np.arange(ends[-1]) - np.repeat(ends - width, width)
+    more = np.repeat(width, width) - 1 > place
+    return ((np.repeat(numbers, width) >> 7 * place & 127) | more * 128).astype(np.uint8).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8).astype(np.int64)
+    heads = np.concatenate([[0], np.flatnonzero(x < 128) + 1])
+    place = np.arange(len(x)) - np.repeat(heads[:-1], np.diff(heads))
+    return np.add.reduceat((x & 127) << 7 * place, heads[:-1])
 
 
 def shown(s: Sketch) -> str:
-    """The fingerprint as a string: the text's length, then each anchor's hash and position, in hex."""
-    return f"{s[2]:x}:" + ",".join(["%012x.%x" % x for x in zip(s[0].tolist(), s[1].tolist(), strict=True)])
+    """The fingerprint as a string: the text's length, then in base64 the anchors' hashes, then the steps between their positions."""
+    if not len(s[0]):
+        return f"{s[2]}"
+    steps = packed(np.diff(s[1], prepend=0))
+    return f"{s[2]}:{base64.b64encode(s[0].astype('<u4').tobytes()).decode()}:{base64.b64encode(steps).decode()}"
 
 
 def read(fingerprint: str) -> Sketch:
     size, _, rest = fingerprint.partition(":")
-    pairs = [x.split(".") for x in rest.split(",") if x]
-    return np.array([int(a, 16) for a, _ in pairs], np.uint64), np.array([int(b, 16) for _, b in pairs], np.int64), int(size, 16)
+    if not rest:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), int(size)
+    hashes, steps = (base64.b64decode(x) for x in rest.split(":"))
+    return np.frombuffer(hashes, "<u4"), np.cumsum(unpacked(steps)), int(size)
+
+
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """Each hash with the number of its occurrences before it."""
+    order = np.argsort(hashes, kind="stable")
+    h = hashes[order]
+    heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    out = np.empty(len(h), np.uint64)
+    out[order] = h.astype(np.uint64) << np.uint64(32) | (np.arange(len(h)) - np.repeat(heads, np.diff(np.append(heads, len(h))))).astype(np.uint64)
+    return out
 
 
-def likeness(x: Sketch, y: Sketch) -> float:
-    """From 0 to 1; 1 for equal fingerprints."""
-    if not len(x[0]) or not len(y[0]):
-        return float(len(x[0]) == len(y[0]))
-    both, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    if not len(both):
-        return 0.0
-    union = len(x[0]) + len(y[0]) - len(both)
-    if union > ANCHORS and max(len(x[0]), len(y[0])) >= ANCHORS:
-        top = np.union1d(x[0], y[0])[ANCHORS - 1]
-        keep = both <= top
-        i, j, union = i[keep], j[keep], ANCHORS
-    places = y[1][j][np.argsort(x[1][i], kind="stable")].tolist()
+def longest_rise(places: np.ndarray) -> int:
+    """The length of the longest strictly rising subsequence."""
+    if (np.diff(places) > 0).all():
+        return len(places)
     rising: list[int] = []
-    for p in places:
+    for p in places.tolist():
         k = bisect_left(rising, p)
         if k == len(rising):
             rising.append(p)
         else:
             rising[k] = p
-    share = len(rising) / union
-    return 2 * share / (1 + share)
+    return len(rising)
+
+
+def likeness(x: Sketch, y: Sketch) -> float:
+    """From 0 to 1; 1 for equal fingerprints."""
+    if not len(x[0]) or not len(y[0]):
+        return float(len(x[0]) == len(y[0]))
+    both, i, j = np.intersect1d(numbered(x[0]), numbered(y[0]), assume_unique=True, return_indices=True)
+    if not len(both):
+        return 0.0
+    return 2 * longest_rise(y[1][j][np.argsort(x[1][i], kind="stable")]) / (len(x[0]) + len(y[0]))
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
