@@ -2,9 +2,10 @@ r"""Byte-level BPE in batched numpy merge rounds.
 
 The symbols of many distinct words lie in one flat array. A round looks each neighbouring pair up by binary search in
 the sorted pair keys, takes the lowest rank of each word and merges all its occurrences from the left. Words that have
-no mergeable pair leave the array. The published pattern 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
-\s+(?!\S)|\s+ splits whole batches by the classes of neighbouring code points. The very long runs (over LONG bytes) would need as many rounds as merges over the
-whole array; they take a heap over linked symbols, with the same order of merges.
+no mergeable pair leave the array. Two bytes that stand next to each other in no token of the vocabulary are never merged
+across, so a word falls into pieces there, which merge on their own; all that is left of long runs takes the same rounds,
+in batches of their own. The published pattern 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
+\s+(?!\S)|\s+ splits whole batches by the classes of neighbouring code points.
 
 Defined results: a null or empty text has no ids and decodes to an empty text. Equal texts have equal ids. Rows are
 independent, so repeated rows and ties need no rule. The special token's string inside a text is the special token, as
@@ -14,7 +15,6 @@ the library has it by default. Extra columns pass through unchanged.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tarnlake.llm.common import fresh, with_columns
 from tarnlake.llm.words import RANDOM, SLOTS, STEP
 
+#: Bytes from which a word is merged apart from shorter ones, which need fewer rounds.
 LONG = 1024
 KEPT = 500_000
 CHUNK = 2 << 20
@@ -119,6 +120,11 @@ class ByteBpe:
         self.digits_length = np.array([len(x) for x in digits], np.int64)
         self.digits_at = np.cumsum(self.digits_length) - self.digits_length
         self.digits = np.frombuffer(b"".join(digits), np.uint8)
+        #: whether some token has the one byte before the other
+        self.meet = np.zeros((256, 256), bool)
+        token = np.repeat(np.arange(len(self.bytes)), self.length)
+        inner = np.flatnonzero(token[1:] == token[:-1])
+        self.meet[self.joined[inner], self.joined[inner + 1]] = True
         self.known: dict[bytes, bytes] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -132,7 +138,12 @@ class ByteBpe:
         n = len(items)
         raw = np.frombuffer(b"".join(items), np.uint8)
         symbols = self.single[raw]
-        word = np.repeat(np.arange(n), np.array([len(x) for x in items], np.int64))
+        ends = np.cumsum([len(x) for x in items], dtype=np.int64)
+        head = np.zeros(len(raw) + 1, bool)
+        head[0] = head[ends] = True
+        head[1:-1] |= ~self.meet[raw[:-1], raw[1:]]
+        word = np.cumsum(head[:-1]) - 1  # pieces of words
+        until = np.cumsum(head[:-1])[ends - 1] if n else ends
         rank = np.full(len(symbols), self.none, np.int64)
         inside = np.flatnonzero(word[1:] == word[:-1])
         rank[inside] = self.ranks(symbols[inside], symbols[inside + 1])
@@ -167,47 +178,15 @@ class ByteBpe:
         symbols = np.concatenate(done_symbols) if done_symbols else np.zeros(0, np.int64)
         word = np.concatenate(done_words) if done_words else np.zeros(0, np.int64)
         order = np.argsort(word, kind="stable")
-        return symbols[order], np.searchsorted(word[order], np.arange(n + 1))
-
-    def merge_long(self, item: bytes) -> list[int]:
-        """One long run by a heap of (rank, place) over linked symbols."""
-        ids = self.single[np.frombuffer(item, np.uint8)].tolist()
-        n = len(ids)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        rank = self.ranks(np.array(ids[:-1]), np.array(ids[1:])).tolist() if n > 1 else []
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(rank) if r < self.none]
-        heapq.heapify(heap)
-        pair = {}
-
-        def look(a: int, b: int) -> int:
-            if (a, b) not in pair:
-                pair[a, b] = int(self.ranks(np.array([a]), np.array([b]))[0])
-            return pair[a, b]
-
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if j < 0 or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], ids[j] = int(self.made[r]), -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            after[j] = -1
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := look(ids[x], ids[y])) < self.none:
-                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return [x for x in ids if x >= 0]
+        return symbols[order], np.concatenate([[0], np.searchsorted(word[order], until)])
 
     def learn(self, new: list[bytes]) -> None:
         """Adds the ids of words not met before to the table of known words."""
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            short = [b for b in part if len(b) <= LONG]
-            ids, off = self.merge_words(short)
+        short = [b for b in new if len(b) <= LONG]
+        for part in [short[k : k + 50_000] for k in range(0, len(short), 50_000)] + [[b] for b in new if len(b) > LONG]:
+            ids, off = self.merge_words(part)
             ids, cut = ids.astype(np.int32), off.tolist()
-            self.known.update((b, ids[cut[j] : cut[j + 1]].tobytes()) for j, b in enumerate(short))
-            self.known.update((b, np.array(self.merge_long(b), np.int32).tobytes()) for b in part if len(b) > LONG)
+            self.known.update((b, ids[cut[j] : cut[j + 1]].tobytes()) for j, b in enumerate(part))
 
     def encode_runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts without special tokens, end to end, and n + 1 offsets."""
