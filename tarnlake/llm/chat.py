@@ -10,7 +10,9 @@ gets one more backslash. One that has k of them came from one with k - 1.
 
 Defined results: turns go by (turn, role, text), nulls first, so ties and repeated rows have one order; a null role or
 text is empty; a null conversation id is a conversation of its own; an empty table has no conversations. A conversation
-streams through its task in parts of PART characters at the end of a turn, so memory is bounded by a turn and a part.
+streams through its task in parts of PART characters at the end of a turn, so memory is bounded by a turn and a part if
+the template goes over the messages once, in a loop of its own; a template that uses them otherwise has them as a list,
+which holds a conversation. Turns that a template leaves unread are passed over.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
 import pyarrow as pa
@@ -382,11 +384,22 @@ class Part:
         return Part(self.begin + self.size)
 
 
+def uses(node: Any, name: str) -> int:
+    """How often a name occurs in a tree."""
+    if isinstance(node, tuple):
+        return sum(uses(x, name) for x in node)
+    if isinstance(node, Name):
+        return int(node.name == name)
+    return sum(uses(getattr(node, f.name), name) for f in fields(node)) if is_dataclass(node) else 0
+
+
 class Template:
-    """A compiled template. parts(messages) renders a stream of messages without holding them."""
+    """A compiled template. parts(messages) renders a stream of messages, without holding them if it can."""
 
     def __init__(self, template: str) -> None:
         self.tree = fold(parse(template))
+        #: Whether one loop, inside no other, is all that reads the messages.
+        self.streams = uses(self.tree, "messages") == sum(isinstance(x, For) and x.over == Name("messages") for x in self.tree) <= 1
         self.run = self.body(self.tree)
 
     def body(self, nodes: tuple) -> Callable[[dict, list[Part], int], Iterator[None]]:
@@ -458,7 +471,7 @@ class Template:
 
     def parts(self, messages: Iterable[dict], part: int = PART) -> Iterator[Part]:
         out = [Part()]
-        for _ in self.run({"messages": messages}, out, part):
+        for _ in self.run({"messages": messages if self.streams else list(messages)}, out, part):
             done, out[0] = out[0], out[0].next()
             yield done
         if out[0].size or not out[0].begin:
@@ -499,7 +512,8 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
         held.extend(x for x in [next(rows, None)] if x is not None)
         while held:
             conv, k, before = held[0][0], 0, None
-            for p in compiled.parts(messages(conv)):
+            turns = messages(conv)
+            for p in compiled.parts(turns):
                 if before is not None:
                     ready.append((conv, k, False, "".join(before.texts), before.spans))
                     size, k = size + before.size, k + 1
@@ -507,6 +521,8 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
                 if size >= PART:
                     yield pa.RecordBatch.from_pylist([dict(zip(PARTS.names, x, strict=True)) for x in ready], PARTS)
                     ready, size = [], 0
+            for _ in turns:  # that the template left unread
+                pass
             ready.append((conv, k, True, "".join(before.texts), before.spans))
             size += before.size
             if size >= PART or len(ready) >= 2000:

@@ -73,6 +73,18 @@ def test_bpe_special_tokens_and_long_runs(both):
     assert ours.decode(np.array([ours.single[0xFF]])) == "�".encode()
 
 
+def test_bpe_merges_long_runs_as_short_ones(both, monkeypatch):
+    """Runs of any length take the same rounds: the bound between batches changes no id."""
+    ours, library = both
+    rng = random.Random(31)
+    texts = ["".join(rng.choices(alphabet, k=n)) for alphabet, n in (("abcdefghijklmnopqrstuvwxyz", 20_000), ("0123456789", 9_000), ("=-+/", 4_000), ("aé日🎉", 3_000), ("etaoin", 1024), ("ab", 1025))]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for bound in (0, 1024, 1 << 40):
+        monkeypatch.setattr(bpe, "LONG", bound)
+        ours.known.clear()
+        assert [x.tolist() for x in ours.encode(texts)] == want
+
+
 # --- chat
 
 
