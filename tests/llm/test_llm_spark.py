@@ -188,16 +188,71 @@ def test_decontamination_of_null_ids_both_ways(spark, docs, monkeypatch):
 
 
 def test_simhash_blocks_find_all_within_the_radius(spark):
+    """Against the Hamming distance of all pairs, at every distance, by both joins."""
     rng = random.Random(1)
-    for bits in (0, 1, decontaminate.RADIUS):
-        a = rng.getrandbits(63)
-        b = a
-        for k in rng.sample(range(63), bits):
-            b ^= 1 << k
-        from pyspark.sql import functions as F
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items = [rng.getrandbits(64) for _ in range(20)]
+    hashes = []
+    for bits in range(25):
+        for x in items[bits % 5 :: 5]:
+            for k in rng.sample(range(64), bits):
+                x ^= 1 << k
+            hashes.append(x)
+    want = {(signed(h), i) for h in hashes for i, x in enumerate(items) if (h ^ x).bit_count() <= decontaminate.RADIUS}
+    assert len(want) > 50
+    left = spark.createDataFrame([(40, signed(h)) for h in hashes], "n int, simhash bigint").distinct()
+    right = spark.createDataFrame([(i, 40, signed(x)) for i, x in enumerate(items)], "item bigint, n int, item_hash bigint")
+    for rows in (len(items), 1 << 40):
+        got = decontaminate.candidates(left, right, rows).collect()
+        assert {(r["simhash"], r["item"]) for r in got} == want and len(got) == len(want)
+
+
+def test_simhash_is_the_majority_of_bits(spark):
+    rng = random.Random(2)
+    groups = {k: [rng.getrandbits(64) - (1 << 63) for _ in range(n)] for k, n in enumerate((1, 2, 3, 8, 55))}
+    groups[5] = [-1] * 4 + [0] * 3
+    rows = spark.createDataFrame([(k, h) for k, v in groups.items() for h in v], "k int, hash bigint")
+    for r in decontaminate.simhashes(rows, "k").collect():
+        hashes = groups[r["k"]]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert r["simhash"] % (1 << 64) == want
+
+
+def test_decontamination_recall_at_the_threshold(spark):
+    """Of windows at 0.8 to 0.85, items of 9 to 60 words, at least 95 in 100 are found; above, 99."""
+    rng = random.Random(77)
+    bag = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    near = lambda a, b: sum((bag(a) & bag(b)).values()) / sum((bag(a) | bag(b)).values())
+    items = [[rng.choice(VOCABULARY) for _ in range(9 + k % 52)] for k in range(150)]
+    texts, want = [], {}
+    while len(texts) < 900:
+        j = len(texts) % len(items)
+        w = list(items[j])
+        for _ in range(rng.randint(1, 3)):
+            w[rng.choice([0, 1, 2, -1, -2, -3, rng.randrange(len(w))])] = rng.choice(VOCABULARY)
+        if (s := near(w, items[j])) >= 0.8:
+            want[len(texts), j] = s
+        texts.append(w)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    table_of = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, table_of).collect()}
+    for low, high, share in ((0.8, 0.85, 0.95), (0.85, 1.01, 0.99)):
+        part = [k for k, s in want.items() if low <= s < high]
+        assert len(part) > 60 and sum(k in got for k in part) >= share * len(part)
+    assert got <= set(want)
 
-        same = spark.range(1).select(*[(decontaminate.block(F.lit(a), F.lit(i)) == decontaminate.block(F.lit(b), F.lit(i))).alias(str(i)) for i in range(decontaminate.RADIUS + 1)]).first()
-        assert any(same)
+
+def test_decontamination_of_long_and_clashing_rows(spark, docs):
+    from pyspark.sql import functions as F
+
+    item = ["w%d" % i for i in range(30)]
+    rows = [(1, " ".join(["filler"] * 20_000 + item + ["filler"] * 5)), (2, " ".join(item[:27])), (3, " ".join(["x"] * 9 + item[:26])), (4, " ".join(item)), (4, "other words here"), (None, " ".join(item))]
+    table_of = spark.createDataFrame([(1, " ".join(item)), (7, " ".join(item)), (8, "filler " * 40)], "item_id bigint, text string")
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"__leak": F.lit(1), "row": F.lit(2), "n": F.lit(3), "start": F.lit("s")})
+    got = {(r["doc_id"], r["item_id"]): r["start"] for r in decontaminate.leaks(frame, table_of).collect()}
+    assert got == {**{(d, i): s for i in (1, 7) for d, s in ((1, 20_000), (2, 0), (3, 9), (4, 0), (None, 0))}, (1, 8): 0}
+    kept = decontaminate.drop_leaks(frame, table_of)
+    assert kept.columns == frame.columns and kept.count() == 0
 
 
 def test_quality(docs, none, labels):
@@ -306,6 +361,17 @@ def test_chat(spark):
     assert len(got) == len(want) and chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_chat_templates_that_read_messages_twice_or_never(spark):
+    turns = spark.createDataFrame([(c, t, "user", f"{c}{t}") for c in range(3) for t in range(2)], "conv_id bigint, turn int, role string, text string")
+    said = lambda template: {r["conv_id"]: r["text"] for r in chat.format_conversations(turns, template).collect()}
+    loop = "{% for m in messages %}{{ m.text }},{% endfor %}"
+    assert said("hi") == {c: "hi" for c in range(3)}
+    assert said(loop + "|" + loop) == {c: f"{c}0,{c}1,|{c}0,{c}1," for c in range(3)}
+    assert said("{% if messages %}{{ messages | length }}{% endif %}" + loop) == {c: f"2{c}0,{c}1," for c in range(3)}
+    assert said("{% for m in messages %}{% for n in messages %}{{ n.text }},{% endfor %}|{% endfor %}") == {c: f"{c}0,{c}1,|" * 2 for c in range(3)}
+    assert chat.Template(chat.TEMPLATE).streams and not chat.Template(loop + loop).streams
+
+
 def test_html(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Some text of a page.</p></article>", "t"), (1, "u", "<article><p>Some text of a page.</p></article>", "t"), (None, None, None, None), (2, "u", "", "")], "page_id bigint, url string, html string, text string")
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html.main_text(pages).collect())
