@@ -1,28 +1,40 @@
 """MinHash near-duplicates by ProbMinHash.
 
-A text's weighted shingles are its runs of five words, weighted by 1 + ln of their counts. Each shingle starts a Poisson process whose
-rate is its weight; an arrival goes to a random register, which keeps the earliest one, and a process stops once its
-arrivals are later than all registers. Two texts agree in a register with the probability Jaccard similarity of their
-weights, which is the plain Jaccard similarity where shingles don't repeat. Bands of ROWS registers give candidates,
-which the whole texts verify: a link is a pair whose Jaccard similarity of distinct shingles is at least the threshold,
-so that a line repeated in two texts doesn't make them near.
-
-Equal texts are one class from the start: only one signature of each goes on, so thousands of copies meet no join.
-A band's bucket is compared as a star around its most central member, which of the copies of one text is mostly that text
-itself, and never as all pairs. A member that isn't linked to the head may be near another one; then they mostly share shingles
-that the head lacks, so the members of a star meet again in buckets by such shingles, again as stars, until no pair is
-new. Pairs whose ends are linked already are left out. At last the buckets of up to SMALL members are compared whole.
-Components come from label propagation over the links; nothing of this comes to the driver but counts.
+A text's weighted shingles are its runs of five words; a weight is 1 and up to an eighth more for repeats. Each shingle
+starts a Poisson process whose rate is its weight; an arrival goes to a random register, which keeps the earliest one, and
+a process stops once its arrivals are later than all registers. Two texts agree in a register with the probability Jaccard
+similarity of their weights. Bands of ROWS registers give candidates, which the whole texts verify: a link is a pair whose
+Jaccard similarity of distinct shingles is at least the threshold t, so that a line repeated in two texts doesn't make
+them near. Since weights are within an eighth of each other, a pair with t has a probability Jaccard similarity of 0.74 at
+least, however unequal its repeats are, and shares a band with probability 0.998; with equal repeats it is 0.99995.
+
+Equal texts are one node from the start, named by a digest of the text: only one signature of each goes on, so thousands
+of copies meet no join. Buckets are never compared as all pairs. The member of a bucket that is first by (degree, name) is
+its head, and all others are compared with it. With x, y and h as sets of shingles, if x and y are linked, then x and y are
+both linked to the head h, or they share a shingle that h lacks, or they lack a shared shingle of h: else the common part
+of x and y is in h, and h in their union, so that both have a similarity of t to h. So the members of a star that holds more
+than one component meet again in finer buckets, one for each (h, shingle more or less than h), as stars around new heads,
+until no pair is new. Heads of finer buckets come later in the order, so this ends, and every link between members of
+a bucket ends in one component: no size of bucket is treated in another way, and none is capped. Of the shingles that set a
+member apart only those are used that are needed: two linked texts differ in at most k = (1 - t) / t |x| shingles, so if
+there are more than 2 k, the first k + 1 of both by hash have one in common; and lacked ones matter only where t |x| of x is
+in h and what x and y each have more than h is at most (1 - t) / (1 + t) (|x| + |y|) in all.
+
+A star is compared in blocks of BLOCK members, each with the head's text once. Components come from label propagation over
+the new links between the components so far. Lookups by a hot name deal it to SALTS tasks; nothing of the texts, pairs or
+components comes to the driver but counts.
 
 Defined results: a null text is empty; texts without words are one class of equal texts only if they are equal; a text of fewer
 than five words is one shingle. Case of A-Z and white space don't count for similarity. A class's id is its smallest
-doc_id. Rows with a null id have a null class and are kept. Rows that repeat an id have its class; one row of an id is
-kept. An empty table gives none. Other columns pass through.
+doc_id, and the row of it that is kept has the smallest (doc_id, digest of the text), of equal such rows the first by a hash
+of all columns. Rows that repeat an id with other texts have each the class of their text. Rows with a null id have a null
+class and are kept. An empty table gives none. Other columns pass through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +42,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import discard, fresh, pieces, store, utf8, with_columns
+from tarnlake.llm.common import discard, fresh, partitions, pieces, store, utf8, with_columns
 from tarnlake.llm.words import mix, shingles, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Similarity to a star's head from which what sets a member apart is looked at.
-NEAR = 0.4
-#: Members of a bucket up to which all pairs across components are compared.
-SMALL = 6
+#: By how much repeats can raise a weight of 1.
+EXTRA = 0.125
+#: Members of a star that are compared in one go.
+BLOCK = 256
+#: Rows of 32 bytes of a table that may be broadcast, and tasks that a hot name of a larger one is dealt to.
+BROADCAST_ROWS, SALTS = 200_000, 16
+#: Stored tables of comparisons that are read side by side.
+TABLES = 8
 CHUNK = 1 << 20
 #: Of a shingle's hash. Above them stands the number of its text in a chunk, so that one sort serves a chunk.
 BITS = 48
@@ -47,7 +63,7 @@ UNIT = 1.0 / (1 << 53)
 
 
 def weights(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of each text in rising order, their weights, and n + 1 offsets. A weight is 1 + ln of the count."""
+    """The distinct shingles of each text in rising order, their weights, and n + 1 offsets. A weight is 1 + EXTRA * (1 - 1 / count)."""
     h, at = shingles(words(data, off), SHINGLE)
     n = len(off) - 1
     key = np.sort(np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(BITS), np.diff(at)) | (h >> np.uint64(64 - BITS)))
@@ -55,7 +71,7 @@ def weights(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
     key = key[first]
-    return key & np.uint64((1 << BITS) - 1), 1 + np.log(np.diff(np.append(first, len(h)))), np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(BITS))
+    return key & np.uint64((1 << BITS) - 1), 1 + EXTRA * (1 - 1 / np.diff(np.append(first, len(h)))), np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(BITS))
 
 
 def signatures(h: np.ndarray, weight: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -107,8 +123,13 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def digest(text: F.Column) -> F.Column:
+    """128 bits that name a text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, signature): same is a digest of the text; signature is null for a text without words."""
+    """(doc_id, id, signature): id names the text; signature is null for a text without words."""
 
     @F.arrow_udf("binary")
     def run(col: pa.Array) -> pa.Array:
@@ -120,8 +141,7 @@ def sign(docs: DataFrame) -> DataFrame:
             out += [got[i].tobytes() if at[i + 1] > at[i] else None for i in range(b - a)]
         return pa.array(out, pa.binary())
 
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.substring(F.sha2(text, 256), 1, 32).alias("same"), run(text).alias("signature"))
+    return docs.select("doc_id", digest(F.col("text")).alias("id"), run(F.coalesce("text", F.lit(""))).alias("signature"))
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -129,150 +149,215 @@ def bands(classes: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            ids = b.column("id").to_numpy()
-            for k in range(0, len(ids), 2000):
-                raw = b.column("signature")[k : k + 2000].to_pylist()
-                x = np.frombuffer(b"".join(raw), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
+            for k in range(0, b.num_rows, 2000):
+                ids, raw = (b.column(c)[k : k + 2000] for c in ("id", "signature"))
+                x = np.frombuffer(b"".join(raw.to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
                 h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), x.shape[:2]).copy()
                 for r in range(ROWS):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[:, :, r])
-                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(ids[k : k + 2000], BANDS))], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), ids.take(pa.array(np.repeat(np.arange(len(ids)), BANDS)))], ["key", "id"])
+
+    return classes.where("signature is not null").select("id", "signature").mapInArrow(run, "key bigint, id binary")
+
+
+def looked_up(df: DataFrame, column: str, table: DataFrame, out: str, default: str) -> DataFrame:
+    """df with what the stored table (id, value) has for a column's name, or else the default column."""
+    found = F.coalesce(F.col("__value"), F.col(default)).alias(out)
+    rest = [c for c in df.columns if c != out]
+    table = table.select(F.col("id").alias("__id"), F.col("value").alias("__value"))
+    if table.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), F.col(column) == F.col("__id"), "left").select(*rest, found)
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = df.withColumn("__deal", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, (F.col(column) == F.col("__id")) & (F.col("__deal") == F.col("__salt")), "left").select(*rest, found)
+
+
+MEMBERS = "a binary, b binary, similarity double, more array<bigint>, less array<bigint>, slack double"
+MEMBER_SCHEMA = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64()), ("more", pa.list_(pa.int64())), ("less", pa.list_(pa.int64())), ("slack", pa.float64())])
+
+
+def needed(apart: np.ndarray, k: int) -> np.ndarray:
+    """Of ordered shingles that set a text apart from a head, those by which texts that differ in at most k meet."""
+    return apart if len(apart) <= 2 * k else apart[: k + 1]
 
-    return classes.where("signature is not null").select("id", "signature").mapInArrow(run, "key bigint, id bigint")
 
+def member(head: np.ndarray, x: np.ndarray, t: float) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """The similarity of ordered sets of shingles, what x has more and less than the head as far as needed, and by how much it has more than half of what two linked texts may."""
+    more, less = np.setdiff1d(x, head, assume_unique=True), np.setdiff1d(head, x, assume_unique=True)
+    both = len(x) - len(more)
+    k = int((1 - t) / t * len(x) + 1e-9)
+    inside = both >= t * len(x) - 1e-9
+    return both / max(1, len(head) + len(more)), needed(more, k), needed(less, k) if inside else less[:0], len(more) - (1 - t) / (1 + t) * len(x) - 1e-9
 
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the similarity of their whole texts and, for pairs of at least NEAR, the shingles that b has and a lacks. texts: (id, text) of all that occur."""
 
-    @F.arrow_udf("struct<similarity:double,added:array<bigint>>")
-    def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        likeness: list[float] = []
-        added: list[np.ndarray] = []
-        for k in range(0, len(left), 256):
-            (h, _, at), (g, _, to) = (weights(*utf8(c[k : k + 256])) for c in (left, right))
-            for i in range(len(at) - 1):
-                own, other = h[at[i] : at[i + 1]], g[to[i] : to[i + 1]]
-                likeness.append(similarity(own, other))
-                added.append(np.setdiff1d(other, own, assume_unique=True).astype(np.int64) if likeness[-1] >= NEAR else np.zeros(0, np.int64))
-        return pa.StructArray.from_arrays([pa.array(likeness, pa.float64()), pa.array(added, pa.list_(pa.int64()))], ["similarity", "added"])
+def compare(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """MEMBERS of the pairs (a, b): a is a head. texts: (id, text) of all that occur."""
+    large = store(pairs.groupBy(F.col("a").alias("id")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("value")).where("value > 1"), "neardup-large")
+    dealt = looked_up(pairs.withColumn("one", F.lit(1)), "a", large, "blocks", "one").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("part"))
+    dealt = store(dealt, "neardup-dealt")
+    heads = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("binary").alias("b"), "text")
+    members = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
+    together = heads.union(members).repartition(partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", run("left", "right").alias("found")).select("a", "b", "found.*")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.uint64)
+        for batch in parts:
+            off = utf8(batch.column("text"))[1]
+            for p, q in pieces(off, CHUNK, 1 << 10):
+                h, _, at = weights(*utf8(batch.column("text")[p:q]))
+                rows = []
+                for i, (a, b) in enumerate(zip(batch.column("a")[p:q].to_pylist(), batch.column("b")[p:q].to_pylist(), strict=True)):
+                    own = h[at[i] : at[i + 1]]
+                    if b is None:
+                        head = own.copy()
+                    else:
+                        rows.append((a, b, *member(head, own, threshold)))
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                lists = [pa.array([x.view(np.int64) for x in c], pa.list_(pa.int64())) for c in cols[3:5]]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.float64()), *lists, pa.array(cols[5], pa.float64())], schema=MEMBER_SCHEMA)
+
+    out = store(together.mapInArrow(run, MEMBERS), "neardup-checked")
+    discard(large)
+    discard(dealt)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label) of every id of the links (a, b): the smallest id of its component. Each round, a node takes the smallest label around it and then that label's own label, so chains halve."""
+    """(id, value) of every id of the links (a, b): the smallest id of its component. Each round, a node takes the smallest label around it and then that label's own label, so chains halve."""
     both = store(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neardup-links")
-    labels = both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("id"), F.least("a", "near").alias("label"))
-    labels = read = store(labels, "neardup-labels")
+    labels = store(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("id"), F.least("a", "near").alias("value")), "neardup-labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        better = labels.join(near, labels.id == near.a).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = better.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        better = store(better.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "neardup-labels")
-        changed = better.where("label < old").limit(1).count()
-        discard(read)
-        labels, read = better.select("id", "label"), better
+        near = store(looked_up(both, "b", labels, "label", "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("value")), "neardup-near")
+        better = store(looked_up(labels, "id", near, "near", "value").select("id", F.col("value").alias("old"), F.least("value", "near").alias("value")), "neardup-better")
+        after = store(looked_up(better, "value", better.select("id", "value"), "next", "value").select("id", "old", F.least("value", "next").alias("value")), "neardup-labels")
+        changed = after.where("value < old").limit(1).count()
+        for scratch in (labels, near, better):
+            discard(scratch)
+        labels = after.select("id", "value")
+        labels.scratch_path = after.scratch_path
         if not changed:
             discard(both)
             return labels
 
 
-def centrality(buckets: DataFrame) -> DataFrame:
-    """(id, degree): the members of all its buckets. The text that near copies were made from has the most."""
-    size = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return buckets.join(size, "key").groupBy("id").agg(F.sum("n").alias("degree"))
+def merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The labels (id, value) after new links (a, b); the old ones are removed."""
+    if labels is None:
+        return components(found)
+    ends = looked_up(looked_up(found.select("a", "b"), "a", labels, "la", "a"), "b", labels, "lb", "b")
+    between = store(ends.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "neardup-between")
+    if not between.limit(1).count():
+        discard(between)
+        return labels
+    joined = components(between)
+    old = looked_up(labels, "value", joined, "to", "value").select("id", F.col("to").alias("value"))
+    out = store(old.union(joined.join(labels.select("id"), "id", "left_anti").select("id", "value")), "neardup-labels")
+    for scratch in (between, joined, labels):
+        discard(scratch)
+    return out
 
 
 def stars(buckets: DataFrame, degrees: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's most central member with its other ones."""
-    heads = buckets.join(degrees, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("top")).select("key", (-F.col("top.id")).alias("a"))
+    """Pairs (a, b) of each bucket's first member by (degree, id) with its other ones."""
+    heads = buckets.join(degrees, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("top")).select("key", F.col("top.id").alias("a"))
     return buckets.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def unsettled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The pairs whose ends are in different components."""
+def finer(checked: DataFrame, heads: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, id): buckets of the members of one star that have the same shingle more, or less, than its head; of stars and buckets with one component there are none."""
+    star = checked.join(heads, "a", "left_semi")
     if labels is None:
-        return pairs
-    for end in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("id").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
-    return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-
-
-def finer(checked: DataFrame, threshold: float) -> DataFrame:
-    """(key, id): buckets of the members of one star that differ from its head by the same added shingle, where one of them isn't linked to the head. Two near texts of which one isn't near the head mostly share something that the head lacks."""
-    keyed = checked.select(F.col("b").alias("id"), "similarity", "a", F.explode("added").alias("shingle")).select(F.xxhash64("a", "shingle").alias("key"), "id", "similarity")
-    shared = keyed.groupBy("key").agg(F.min("similarity").alias("least"), F.min("id").alias("low"), F.max("id").alias("high")).where((F.col("least") < threshold) & (F.col("low") < F.col("high"))).select("key")
+        star = star.withColumns({"la": F.col("a"), "lb": F.col("b")})
+    else:
+        star = looked_up(looked_up(star, "a", labels, "la", "a"), "b", labels, "lb", "b")
+    star = star.select("a", "b", "more", "less", "slack", F.xxhash64("la").alias("la"), F.xxhash64("lb").alias("lb"))
+    # a star with one component needs no other look; of others, all members
+    several = store(star.where("la <> lb").select("a").distinct(), "neardup-several")
+    star = star.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "a", "left_semi")
+    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("more").alias("by"), F.lit(0.0).alias("slack")), F.struct(F.lit(2).alias("side"), F.col("less").alias("by"), F.col("slack")))
+    keyed = star.select("a", "b", "lb", F.explode(sides).alias("s")).select("a", "b", "lb", "s.side", "s.slack", F.explode("s.by").alias("shingle"))
+    keyed = keyed.select(F.xxhash64("a", "side", "shingle").alias("key"), F.col("b").alias("id"), "lb", "slack")
+    shared = keyed.groupBy("key").agg(F.min("lb").alias("low"), F.max("lb").alias("high"), F.min("slack").alias("slack")).where("low <> high and slack <= 0").select("key")
     return keyed.join(shared, "key", "left_semi").select("key", "id")
 
 
-def within_small(buckets: DataFrame) -> DataFrame:
-    """All pairs of the buckets of up to SMALL members."""
-    size = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > 2 and n <= {SMALL}").select("key")
-    few = buckets.join(size, "key", "left_semi")
-    return few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
-
-
-def grown(old: DataFrame | None, new: DataFrame, name: str) -> DataFrame:
-    """One stored table of both in place of old, so that no plan grows with the rounds."""
-    both = store(new if old is None else old.union(new), name)
-    if old is not None:
-        discard(old)
-    return both
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, keep) of each row."""
-    docs = with_columns(docs, doc_id="bigint", text="string").select(F.col("doc_id").cast("bigint"), "text")
+def linked(texts: DataFrame, buckets: DataFrame, threshold: float) -> DataFrame | None:
+    """(id, value): the component of every id that has a link within a bucket (key, id), or None if there are no links."""
+    size = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    degrees = store(buckets.join(size, "key").groupBy("id").agg(F.sum("n").alias("degree")), "neardup-degrees")
+    tables: list[DataFrame] = []
+    labels, rounds = None, buckets
+    while True:
+        pairs = stars(rounds, degrees)
+        for t in tables:
+            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = store(pairs, "neardup-pairs")
+        if rounds is not buckets:
+            discard(rounds)
+        if not pairs.limit(1).count():
+            break
+        checked = compare(pairs, texts, threshold)
+        found = checked.where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
+        if found.limit(1).count():
+            labels = merged(labels, found)
+        heads = store(pairs.select("a").distinct(), "neardup-heads")
+        tables.append(checked)
+        if len(tables) > TABLES:
+            whole = store(reduce(DataFrame.union, tables), "neardup-checked")
+            for t in tables:
+                discard(t)
+            tables = [whole]
+        rounds = store(finer(reduce(DataFrame.union, tables), heads, labels), "neardup-finer")
+        for scratch in (pairs, heads):
+            discard(scratch)
+    for scratch in (pairs, degrees, *tables):
+        discard(scratch)
+    return labels
+
+
+def classified(docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, id, class_id, first) of each row with a doc_id: id names its text, first the text of the class's row to keep."""
     signed = store(sign(docs.where("doc_id is not null")), "neardup-signed")
-    classes = store(signed.groupBy("same").agg(F.min("doc_id").alias("id"), F.any_value("signature").alias("signature")), "neardup-classes")
+    classes = store(signed.groupBy("id").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n"), F.any_value("signature").alias("signature")), "neardup-classes")
     keyed = bands(classes)
-    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = store(keyed.join(shared, "key", "left_semi"), "neardup-buckets")
     ids = buckets.select("id").distinct()
-    texts = store(docs.join(ids, docs.doc_id == ids.id, "left_semi").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["id"]), "neardup-texts")
-    degrees = store(centrality(buckets), "neardup-degrees")
-    links = labels = seen = None
-    rounds, last = buckets, False
-    while True:
-        pairs = within_small(buckets) if last else stars(rounds, degrees)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti").join(seen.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = store(unsettled(pairs, labels), "neardup-pairs")
-        if not pairs.limit(1).count():
-            if last:
-                break
-            last = True
-            continue
-        checked = store(compare(pairs, texts), "neardup-checked")
-        seen = grown(seen, pairs, "neardup-seen")
-        discard(pairs)
-        found = checked.where(F.col("similarity") >= threshold).select("a", "b")
-        if found.limit(1).count():
-            links = grown(links, found, "neardup-found")
-            labels = components(links)
-        if last:
-            break
-        # a round without a link may still have had the wrong heads: only one without a new pair is the last
-        coarser, rounds = rounds, store(finer(checked, threshold), "neardup-finer")
-        discard(checked)
-        if coarser is not buckets:
-            discard(coarser)
+    texts = docs.where("doc_id is not null").select(digest(F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = store(texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "neardup-texts")
+    labels = linked(texts, buckets, threshold)
+    # only texts that stand in several rows or have a link need a lookup
     if labels is None:
-        labels = classes.select("id", F.col("id").alias("label")).limit(0)
-    named = classes.join(labels, "id", "left").select("same", F.coalesce("label", "id").alias("class_id"))
-    out = signed.join(named, "same").select("doc_id", "class_id")
-    none = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id"))
-    return out.unionByName(none).withColumn("keep", F.col("doc_id").eqNullSafe(F.col("class_id")))
+        several = classes.where("n > 1").select("id", F.struct("doc", F.col("id").alias("first")).alias("value"))
+    else:
+        known = labels.join(classes.select("id", "doc"), "id")
+        tops = store(known.groupBy(F.col("value").alias("id")).agg(F.min(F.struct("doc", F.col("id").alias("first"))).alias("value")), "neardup-tops")
+        of = looked_up(known.withColumn("own", F.struct("doc", F.col("id").alias("first"))), "value", tops, "top", "own").select("id", F.col("top").alias("value"))
+        alone = classes.where("n > 1").join(labels.select("id"), "id", "left_anti").select("id", F.struct("doc", F.col("id").alias("first")).alias("value"))
+        several = of.union(alone)
+    several = store(several, "neardup-several")
+    own = signed.select("doc_id", "id", F.struct(F.col("doc_id").alias("doc"), F.col("id").alias("first")).alias("own"))
+    out = looked_up(own, "id", several, "top", "own").select("doc_id", "id", F.col("top.doc").alias("class_id"), F.col("top.first").alias("first"))
+    for scratch in (classes, buckets, texts, *([labels, tops] if labels is not None else [])):
+        discard(scratch)
+    return out
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, keep) of each row."""
+    docs = with_columns(docs, doc_id="bigint", text="string").select(F.col("doc_id").cast("bigint"), "text")
+    out = classified(docs, threshold).select("doc_id", "class_id", ((F.col("doc_id") == F.col("class_id")) & (F.col("id") == F.col("first"))).alias("keep"))
+    return out.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id"), F.lit(True).alias("keep")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents of which one of each class stays: that with the smallest id."""
+    """The documents of which one of each class stays, as the rules above say."""
     full = with_columns(docs, doc_id="bigint", text="string")
-    classes = store(near_duplicates(full, threshold).where("not keep").select("doc_id").distinct(), "neardup-drop")
-    (n,) = fresh(full, "turn")
-    kept = full.join(classes, "doc_id", "left_anti")
-    one = kept.where("doc_id is not null").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where(F.col(n) == 1)
+    found = classified(full.select(F.col("doc_id").cast("bigint"), "text"), threshold)
+    name, turn = fresh(full, "name", "turn")
+    drop = store(found.where("doc_id <> class_id or id <> first").select("doc_id", F.col("id").alias(name)).distinct(), "neardup-drop")
+    kept = full.where("doc_id is not null").withColumn(name, digest(F.col("text"))).join(drop, ["doc_id", name], "left_anti")
+    order = Window.partitionBy("doc_id", name).orderBy(F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns]))
+    one = kept.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return one.select(*columns).unionByName(kept.where("doc_id is null").select(*columns)) if "doc_id" in docs.columns else kept.select(*columns)
+    return one.select(*columns).unionByName(full.where("doc_id is null").select(*columns))

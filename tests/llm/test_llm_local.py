@@ -270,6 +270,23 @@ def test_probminhash():
     assert (sig[4] == sig[5]).all() and not sig[6].any() and not sig[7].any()
 
 
+def test_unequal_repeats_keep_candidates_likely():
+    """Whatever the repeats are, texts at 0.8 have a probability Jaccard similarity that shares a band with 0.998."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(5, 200))
+        both, own = int(0.8 * n) or 1, n - (int(0.8 * n) or 1)
+        low, high = 1.0, 1 + neardup.EXTRA
+        x, y = (rng.choice([low, high], n) for _ in range(2))
+        a, b = np.arange(both + own // 2), np.append(np.arange(both), np.arange(n, n + own - own // 2))
+        p = neardup.probability_jaccard(a, x[: len(a)], b, y[: len(b)])
+        share = both / (both + own)
+        assert p > 0.74 / 0.8 * share and 1 - (1 - 0.74**neardup.ROWS) ** neardup.BANDS > 0.998
+    texts = ["x " * 400 + "a b c d e f", "x " * 9 + "a b c d e f"]
+    _, w, _ = neardup.weights(*flat(texts))
+    assert w.min() == 1 and w.max() <= 1 + neardup.EXTRA
+
+
 # --- language model
 
 

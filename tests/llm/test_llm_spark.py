@@ -128,6 +128,54 @@ def test_near_duplicates_after_a_round_without_links(spark, monkeypatch):
     assert got == {**{i: i for i in range(10)}, 10: 9}
 
 
+def components_of(sets, t=0.8):
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-9 and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("bounds", [{}, {"BROADCAST_ROWS": 0, "BLOCK": 4, "TABLES": 1}])
+def test_every_link_in_a_bucket_is_found(spark, monkeypatch, bounds):
+    """One bucket of all: chains, truncations and extensions of the head, families that aren't near it, unrelated texts; no link is lost at any size."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "bands", lambda classes: classes.select(F.lit(1).cast("bigint").alias("key"), "id"))
+    for k, v in bounds.items():
+        monkeypatch.setattr(neardup, k, v)
+    rng = random.Random(41)
+    new = lambda n: [f"n{rng.getrandbits(40)}" for _ in range(n)]
+    main = new(100)
+    texts = [main, main[:70], main[:72], main[:70] + new(1), main[30:], main[28:], main + new(60), main[:50]]
+    texts += [main[:80] + own for own in [new(30)] for _ in range(1)] + [main[:80] + new(30) for _ in range(6)]
+    for _ in range(3):
+        family = rng.choice([main[:60], new(20)]) + new(60)
+        for i in range(8):
+            texts.append(list(family))
+            family[rng.randrange(len(family))] = f"e{i}"
+            if i % 2:
+                family[rng.randrange(len(family))] = f"f{i}"
+    texts += [new(rng.randint(1, 60)) for _ in range(6)]
+    texts = [" ".join(t) for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == components_of(sets)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id with other texts are told apart by their text; what is kept doesn't depend on the order of rows."""
+    other = prose(60)
+    rows = [(1, " ".join(BASE), "a"), (1, other, "b"), (2, other, "c"), (1, " ".join(BASE), "z"), (3, edited(BASE, 20), "d"), (3, edited(BASE, 21), "e"), (4, prose(50), None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, __name string")
+    got = collections.Counter((r["doc_id"], r["class_id"], r["keep"]) for r in neardup.near_duplicates(frame).collect())
+    assert got == {(1, 1, True): 3, (2, 1, False): 1, (3, 1, False): 2, (4, 4, True): 1}
+    kept = [sorted(map(tuple, neardup.keep_one(frame.repartition(n)).collect()), key=str) for n in (1, 2, 5)]
+    assert kept[0] == kept[1] == kept[2] and sorted((i, t) for i, t, _ in kept[0]) == sorted({(1, " ".join(BASE)), (1, other), (4, rows[-1][1])})
+
+
 def test_decontamination(spark, docs, none, rows):
     item = rows[0]
     items = spark.createDataFrame([(1, item, "x"), (2, None, "y"), (3, "", "z"), (4, "one TWO", ""), (5, item, ""), (6, prose(30), "")], "item_id bigint, text string, doc_id string")
