@@ -152,6 +152,47 @@ def test_html():
     assert html.extract("<article><p>Plain text of a page that ends &am") == "Plain text of a page that ends &am"
 
 
+SENTENCE = "The town hall said on Monday that the bridge stays closed until the end of the month, since the river is high. "
+
+
+def test_html_quotes_and_class_names():
+    text = (SENTENCE * 2).strip()
+    for page in (
+        f"<article><p title=it's>{text}</p><p>Next \"one\" isn't lost.</p></article>",
+        f'<div class="feedback-loops"><p>{text}</p><p>Next "one" isn\'t lost.</p></div>',
+        f'<div class="post-ad-free-story"><p>{text}</p><p>Next "one" isn\'t lost.</p></div>',
+        f"<article><p data-x='a>b' title=\"it's\">{text}</p><p>Next \"one\" isn't lost.</p></article>",
+    ):
+        assert html.extract(page) == text + ' Next "one" isn\'t lost.'
+    for name in ("ad-container", "cookie-notice", "comments-area", "site-footer", "sidebar-left", "related_items"):
+        assert html.extract(f'<article><p>{text}</p><div class="{name}"><p>{SENTENCE}</p></div><p>Last one here.</p></article>') == text + " Last one here."
+
+
+def test_html_cut_decides_what_words_leave_open():
+    """Without the smoothness edges short lines of a story are lost and a stray sentence among links is taken."""
+    story = [SENTENCE.strip(), "No.", "Why", SENTENCE.strip(), "Because", SENTENCE.strip()]
+    links = "".join(f"<div><a href=/{k}>Some place {k}</a></div>" for k in range(4))
+    page = f"<body><div>{links}<div>More of this for you</div>{links}</div><div>{''.join(f'<div>{x}</div>' for x in story)}</div><div>{links}</div></body>"
+    found, nodes = html.blocks(page)
+    alone = [x > 0 for x, _ in (html.costs(b, nodes[b.node], False) for b in found)]
+    cut = html.labels(found, nodes)
+    want = [b.text in story for b in found]
+    assert cut == want and alone != want and html.extract(page) == " ".join(story)
+    assert sum(a != w for a, w in zip(alone, want, strict=True)) >= 3
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    text = SENTENCE * 9000
+    pages = ["<div>" * 40_000 + "</p></b></table>" * 20_000 + "<p>x", "<b><table>" + "<div>" * 30_000 + "</b>" * 60_000, "<span>" * 40_000 + "<p>a</p>" * 20_000, f"<article><p>{text}</p></article>", "<p>a word</p><a href=x>b</a>" * 30_000, '<p title="' * 40_000]
+    for page in pages:
+        began = time.process_time()
+        html.extract(page)
+        assert time.process_time() - began < 8
+    assert html.extract(pages[3]) == text.strip()
+
+
 # --- fingerprints
 
 
