@@ -1,16 +1,19 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 A logistic model on counts of a text's bytes and words gives each document evidence: the log-likelihood ratio of good
-against bad. Sites are a hierarchy: all, hosts, paths of a host. Grouped sums of the documents' posteriors (the label
-where there is one) give each site's rate; a host's rate shrinks toward the global rate, a path's toward its host's, as
+against bad. Sites are a hierarchy: all, hosts, paths of a host. Grouped sums of the documents' posteriors (of evidence and
+the share of good labels) give each site's rate; a host's rate shrinks toward the global rate, a path's toward its host's, as
 beta posteriors whose strengths come from the spread between sites by the method of moments. A document's score is the
-posterior of its evidence with its path's rate as the prior.
+posterior of its evidence with its path's rate as the prior, where its own part is taken out of the sums of its host and
+path: no document counts twice, and one that is alone on its site has the rate of what stands above. A source is
+[scheme://]host[/path]; the first directory of the path counts, and a document without one has its host's rate.
 
-The model is fitted on at most SAMPLE labelled rows, the first by a hash of the id; the site rates take in all rows.
+The model is fitted on the labelled documents whose hash of the id is below a bound, chosen so that about SAMPLE of them are;
+of rows that repeat an id, that with the smallest counts. The site rates take in all rows.
 
-Defined results: a null text is empty and an empty one has all counts zero; a null host or path is an empty one. Rows
-are scored one by one, so repeated rows have equal scores; of several labels of an id the mean counts. Without labels of
-both kinds the evidence is zero and everything is kept. An empty table gives none. Other columns pass through.
+Defined results: a null text is empty and an empty one has all counts zero; a null host is an empty one. Rows are scored
+one by one, so repeated rows have equal scores; of several labels of an id the mean counts. Without labels of both kinds the
+evidence is zero and everything is kept. An empty table gives none. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import fresh, pieces, store, utf8, with_columns
+from tarnlake.llm.common import discard, pieces, store, utf8, with_columns
 from tarnlake.llm.words import words
 
+#: Labelled documents that the model is fitted on, about.
 SAMPLE = 20_000
 RIDGE = 1.0
 #: Rows of about 100 bytes of the table of site rates that may be broadcast.
@@ -140,17 +144,15 @@ def sigmoid(x: F.Column) -> F.Column:
 @dataclass
 class Model:
     evidence: Evidence
-    rates: DataFrame  #: host, path, host_rate, path_rate
+    rates: DataFrame  #: host, path, host_good, host_n, path_good, path_n
     rows: int  #: of rates
+    mean: float  #: of all hosts
+    host_strength: float
+    path_strength: float
 
 
-def site(df: DataFrame, host: F.Column, path: F.Column) -> DataFrame:
-    h, p = fresh(df, "host", "path")
-    return df.withColumns({h: F.coalesce(host.cast("string"), F.lit("")), p: F.coalesce(path.cast("string"), F.lit(""))})
-
-
-def strength(rates: DataFrame, within: list[str]) -> DataFrame | tuple[float, float]:
-    """The beta strength that the spread of site rates says: m (1 - m) / variance - 1, from 1 to 1000."""
+def strength(rates: DataFrame) -> tuple[float, float]:
+    """The mean of the rates, and the beta strength that their spread says: m (1 - m) / variance - 1, from 1 to 1000. rates: good and n of each site."""
     row = rates.agg(F.sum("good").alias("good"), F.sum("n").alias("n"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("square"), F.count(F.lit(1)).alias("sites")).first()
     if not row["n"]:
         return 1.0, 1.0
@@ -159,42 +161,57 @@ def strength(rates: DataFrame, within: list[str]) -> DataFrame | tuple[float, fl
     return mean, float(np.clip(mean * (1 - mean) / max(spread, 1e-9) - 1, 1, 1000))
 
 
+def own_part(model: Evidence) -> F.Column:
+    """What a document adds to the sums of its sites: its posterior with the share of good labels as the prior."""
+    prior = min(max(model.prior, 1e-3), 1 - 1e-3)
+    return sigmoid(evidence_of("counts", model) + F.lit(float(np.log(prior / (1 - prior)))))
+
+
+def sample_of(counted: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and labels of about so many labelled documents: all, or those whose hash of the id is below a bound."""
+    labels = with_columns(labels, doc_id="bigint", quality="int").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("label"))
+    share = min(1.0, sample / max(1, labels.count()))
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    rows = counted.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("counts").alias("counts"), F.first("label").alias("label")).collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    return np.array([r["counts"] for r in rows], np.float64).reshape(-1, len(NAMES)), np.array([r["label"] for r in rows], np.float64)
+
+
 def train(counted: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """counted: doc_id, host, path and counts of all documents."""
-    labels = with_columns(labels, doc_id="bigint", quality="int").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("label"))
-    known = counted.join(labels, "doc_id")
-    rows = known.select("counts", "label", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("counts", "label").collect()
-    model = fit(np.array([r["counts"] for r in rows], np.float64).reshape(-1, len(NAMES)), np.array([r["label"] for r in rows], np.float64))
-    prior = min(max(model.prior, 1e-3), 1 - 1e-3)
-    good = F.coalesce("label", sigmoid(evidence_of("counts", model) + F.lit(float(np.log(prior / (1 - prior))))))
-    paths = store(counted.join(labels, "doc_id", "left").groupBy("host", "path").agg(F.sum(good).alias("good"), F.count(F.lit(1)).alias("n")), "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    mean, a = strength(hosts, [])
-    _, b = strength(paths, ["host"])
-    hosts = hosts.select("host", ((F.col("good") + F.lit(a * mean)) / (F.col("n") + F.lit(a))).alias("host_rate"))
-    rates = paths.join(hosts, "host").select("host", "path", "host_rate", ((F.col("good") + F.lit(b) * F.col("host_rate")) / (F.col("n") + F.lit(b))).alias("path_rate"))
+    model = fit(*sample_of(counted, labels, sample))
+    paths = store(counted.groupBy("host", "path").agg(F.sum(own_part(model)).alias("good"), F.count(F.lit(1)).alias("n")), "quality-paths")
+    hosts = store(paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "quality-hosts")
+    mean, a = strength(hosts)
+    _, b = strength(paths)
+    rates = paths.select("host", "path", F.col("good").alias("path_good"), F.col("n").alias("path_n")).join(hosts.select("host", F.col("good").alias("host_good"), F.col("n").alias("host_n")), "host")
     rates = store(rates, "quality-rates")
-    return Model(model, rates, rates.count())
+    for scratch in (paths, hosts):
+        discard(scratch)
+    return Model(model, rates, rates.count(), mean, a, b)
 
 
 def score(counted: DataFrame, model: Model) -> DataFrame:
-    """counted (host, path, counts) with evidence, host_rate, path_rate, score and keep."""
+    """counted (host, path, counts) with evidence, host_rate, path_rate, score and keep; the rates are those without the row itself."""
     rates = F.broadcast(model.rates) if model.rows <= BROADCAST_ROWS else model.rates
-    out = counted.join(rates, ["host", "path"], "left")
+    out = counted.join(rates, ["host", "path"], "left").withColumn("evidence", evidence_of("counts", model.evidence)).withColumn("own", own_part(model.evidence))
+    a, b = F.lit(model.host_strength), F.lit(model.path_strength)
+    out = out.withColumn("host_rate", (F.col("host_good") - F.col("own") + a * F.lit(model.mean)) / (F.col("host_n") - 1 + a))
+    shrunk = (F.col("path_good") - F.col("own") + b * F.col("host_rate")) / (F.col("path_n") - 1 + b)
+    out = out.withColumn("path_rate", F.when(F.col("path") == "", F.col("host_rate")).otherwise(shrunk))
     rate = F.least(F.greatest("path_rate", F.lit(1e-3)), F.lit(1 - 1e-3))
-    out = out.withColumn("evidence", evidence_of("counts", model.evidence))
     out = out.withColumn("score", sigmoid(F.col("evidence") + logit(rate)))
     return out.withColumn("keep", F.col("score") >= 0.5)
 
 
 def sites(docs: DataFrame) -> tuple[F.Column, F.Column]:
-    """The documents' site: the source up to its first slash is the host; what follows, or else the language's section, is the path."""
-    source = F.coalesce(F.col("source"), F.lit(""))
-    return F.substring_index(source, "/", 1), F.concat_ws("/", source, F.coalesce(F.col("lang"), F.lit("")))
+    """The documents' host and the first directory of their path, empty if there is none."""
+    source = F.regexp_replace(F.lower(F.coalesce(F.col("source").cast("string"), F.lit(""))), r"^[a-z][a-z0-9+.-]*://", "")
+    return F.regexp_extract(source, r"^([^/?#]*)", 1), F.regexp_extract(source, r"^[^/?#]*/+([^/?#]+)", 1)
 
 
 def counted_documents(docs: DataFrame) -> DataFrame:
-    docs = with_columns(docs, doc_id="bigint", text="string", source="string", lang="string")
+    docs = with_columns(docs, doc_id="bigint", text="string", source="string")
     host, path = sites(docs)
     return docs.select("doc_id", host.alias("host"), path.alias("path"), count_udf()("text").alias("counts"))
 
@@ -209,7 +226,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns. Texts are read twice rather than shuffled."""
     columns = docs.columns
     model = train(store(counted_documents(docs), "quality-counts"), labels)
-    full = with_columns(docs, doc_id="bigint", text="string", source="string", lang="string")
+    full = with_columns(docs, doc_id="bigint", text="string", source="string")
     host, path = sites(full)
     whole = full.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), host.alias("host"), path.alias("path"), count_udf()("text").alias("counts"))
     return score(whole, model).where("keep").select("row.*")

@@ -311,11 +311,13 @@ def test_quality(docs, none, labels):
     assert quality.classify(none, labels).count() == 0 and quality.keep_good(none, labels).count() == 0
 
 
+GOOD, BAD = "The quick words of a plain text go on and on here. " * 3, "%%% ### @@@ !!! $$$ *** " * 3
+
+
 def test_quality_shrinks_sites(spark):
     """A path of few rows stays near its host, a host of few rows near all; large ones go their way."""
-    good, bad = "The quick words of a plain text go on and on here. " * 3, "%%% ### @@@ !!! $$$ *** " * 3
-    rows = [(i, good if i % 10 else bad, "good", "a") for i in range(200)] + [(200 + i, bad if i % 10 else good, "bad", "a") for i in range(200)] + [(400, bad, "good", "tiny"), (401, good, "new", "a")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    rows = [(i, GOOD if i % 10 else BAD, "good.org/a") for i in range(200)] + [(200 + i, BAD if i % 10 else GOOD, "https://bad.org/a/b") for i in range(200)] + [(400, BAD, "good.org/tiny"), (401, GOOD, "new.org")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     labels = spark.createDataFrame([(i, int("plain" in t), 0) for i, t, *_ in rows[:350]], "doc_id bigint, quality int, toxic int")
     got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
     assert got[1]["keep"] and not got[0]["keep"] and got[1]["path_rate"] > 0.8 and got[201]["path_rate"] < 0.2
@@ -323,6 +325,50 @@ def test_quality_shrinks_sites(spark):
     assert all(got[i]["keep"] == ("plain" in t) for i, t, *_ in rows)
 
 
+@pytest.mark.parametrize("bound", [quality.BROADCAST_ROWS, 0])
+def test_quality_posteriors_against_brute_force(spark, monkeypatch, bound):
+    """Each rate without the document itself, from plain sums over the others of its host and path."""
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", bound)
+    rng = random.Random(51)
+    sources = ["a.org/x/1", "a.org/x/2?q", "http://a.org/y", "b.org", "B.org/", "c.org/z", None, ""]
+    rows = [(i, prose(rng.randint(3, 40)) + (" %%% ###" * rng.randint(0, 9) if rng.random() < 0.5 else ""), rng.choice(sources)) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (121, "alone", "only.org/p")], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, int("%" not in t)) for i, t, _ in rows], "doc_id bigint, quality int")
+    counted = quality.counted_documents(docs)
+    model = quality.train(counted, labels)
+    base = [(r["doc_id"], r["host"], r["path"], model.evidence.of(__import__("numpy").array([r["counts"]]))[0]) for r in counted.collect()]
+    assert {(h, p) for _, h, p, _ in base} == {("a.org", "x"), ("a.org", "y"), ("b.org", ""), ("c.org", "z"), ("", ""), ("only.org", "p")}
+    prior = math.log(model.evidence.prior / (1 - model.evidence.prior))
+    part = {i: 1 / (1 + math.exp(-(e + prior))) for i, _, _, e in base}
+    got = {r["doc_id"]: r for r in quality.score(counted, model).collect()}
+    for i, h, p, e in base:
+        near = [part[j] for j, g, _, _ in base if g == h and j != i]
+        host = (sum(near) + model.host_strength * model.mean) / (len(near) + model.host_strength)
+        own = [part[j] for j, g, q, _ in base if (g, q) == (h, p) and j != i]
+        path = (sum(own) + model.path_strength * host) / (len(own) + model.path_strength) if p else host
+        assert got[i]["host_rate"] == pytest.approx(host) and got[i]["path_rate"] == pytest.approx(path)
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-(e + math.log(path / (1 - path))))), rel=1e-6)
+    assert got[121]["path_rate"] == pytest.approx(model.mean)
+    sums = {}
+    for i, h, _, _ in base:
+        sums.setdefault(h, []).append(part[i])
+    n, good = len(base), sum(part.values())
+    mean = (good + 1) / (n + 2)
+    spread = sum(sum(v) ** 2 / len(v) for v in sums.values()) / n - (good / n) ** 2 - mean * (1 - mean) * len(sums) / n
+    assert model.mean == pytest.approx(mean) and model.host_strength == pytest.approx(min(1000, max(1, mean * (1 - mean) / max(spread, 1e-9) - 1)))
+
+
+def test_quality_sample_and_repeated_ids(spark):
+    """About as many as asked for by a hash of the id, the same ones each time; of a repeated id the smallest counts."""
+    docs = spark.createDataFrame([(i, prose(5), "s", "x") for i in range(2000)] + [(3, "a b", "s", "x")] * 50, "doc_id bigint, text string, source string, counts string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id bigint, quality int")
+    counted = quality.counted_documents(docs)
+    x, y = quality.sample_of(counted, labels, 300)
+    again = quality.sample_of(counted.repartition(3), labels, 300)
+    assert 220 < len(y) < 380 and (x == again[0]).all() and (y == again[1]).all() and len(quality.sample_of(counted, labels, 5000)[1]) == 2000
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
 def test_toxicity(docs, none, labels):
     got = toxicity.classify(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
