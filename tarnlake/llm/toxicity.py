@@ -6,8 +6,10 @@ them. The embedding's first column starts as the rows' log-odds in the training
 A score is shifted so that 0.5 is the best threshold of the text's language, found on all training rows kept apart; the
 language is told from function words of the text itself, so no other column is an input of a score.
 
-The model is fitted on at most SAMPLE labelled rows of each kind, the first by a hash of the id. Thresholds sample nothing:
-the executors score every labelled document kept apart, and the driver gets counts by language and STEPS of a logit.
+The model is fitted on about SAMPLE labelled documents of each kind, those whose hash of the id is below a bound, and of
+these, in the order of the hash, on as many whole texts as fit in BYTES. Of rows that repeat an id, the smallest text counts.
+Thresholds sample nothing: the executors score every labelled document kept apart, and the driver gets counts by language
+and STEPS of a logit.
 
 Defined results: a null text is empty; a text without words has the score of the bias. Equal texts have equal scores.
 Without labels of both kinds every score is the smoothed share of toxic labels. Very long texts are scored whole. Other
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from tarnlake.llm.common import fresh, pieces, remainder, utf8, with_columns
 from tarnlake.llm.words import Words, mix, words
 
-SAMPLE = 2000
+#: Labelled documents of each kind that the model is fitted on, about, and the bytes of their texts at most.
+SAMPLE, BYTES = 2000, 64 << 20
 #: To a logit, of the counts that thresholds are chosen from.
 STEPS = 256
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
@@ -239,6 +242,23 @@ def counts(docs: DataFrame, labels: DataFrame, cnn: Cnn) -> list[np.ndarray]:
     return [np.array(x) for x in zip(*found, strict=True)]
 
 
+def sample_of(docs: DataFrame, labels: DataFrame, sample: int) -> list:
+    """Rows (doc_id, toxic, text) to fit on, in the order of doc_id. Repeated ids are one before anything is sent."""
+    many = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    bound = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(int(min(1.0, sample / n) * (1 << 40)))) for k, n in many.items()], F.lit(0))
+    chosen = labels.withColumn("at", at).where(F.col("at") < bound)
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"), F.first("at").alias("at"))
+    sizes = sorted((r["at"], r["doc_id"], r["size"]) for r in rows.select("at", "doc_id", F.octet_length("text").alias("size")).collect())
+    room, fit_in = BYTES, []
+    for _, key, size in sizes:
+        if size <= room:
+            room -= size
+            fit_in.append(key)
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in fit_in], "doc_id bigint"))
+    return sorted(rows.join(ids, "doc_id").collect(), key=lambda r: r["doc_id"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cnn:
     """Learns from labelled rows whose remainder isn't 0; all those with remainder 4 set the thresholds, or the others where they lack a kind."""
     spark = docs.sparkSession
@@ -246,10 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cnn:
     labels = labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     apart = remainder("doc_id") == 4
     docs = docs.select("doc_id", "text")
-    ids = [r for kind in (0, 1) for r in labels.where((F.col("toxic") == kind) & ~apart).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    chosen = F.broadcast(spark.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in ids], "doc_id bigint, toxic int"))
-    rows = {r["doc_id"]: r for r in docs.join(chosen, "doc_id").collect()}
-    kept = [rows[k] for k in sorted(rows)]
+    kept = sample_of(docs, labels.where(~apart), sample)
     y = np.array([r["toxic"] for r in kept], np.int64)
     cnn = fit([r["text"] or "" for r in kept], y, np.zeros(len(y), bool))
     if len(set(y)) < 2:

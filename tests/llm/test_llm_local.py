@@ -383,3 +383,48 @@ def test_toxicity_learns_words_and_beginnings():
     assert (m.scores(*flat(texts))[apart] >= 0.5).tolist() == [bool(v) for v in y[apart]]
     assert toxicity.fit([], np.zeros(0, int), np.zeros(0, bool)).scores(*flat(["x"]))[0] < 0.5
     assert toxicity.tell(*[*np.unique(words(*flat(["der und nicht", "le les et", "xx"])).hashes, return_inverse=True)], np.array([0, 3, 6, 7]), np.arange(3)).tolist() == [0, 3, 4]
+
+
+def brute_pooled(m, rows, inverse):
+    """Each filter's largest value over all places, one place at a time."""
+    embedded = [m.embedding[rows[i]].mean(0) for i in inverse]
+    out = np.zeros((len(toxicity.WIDTHS), toxicity.FILTERS))
+    for a, width in enumerate(toxicity.WIDTHS):
+        values = [sum(embedded[p + k] @ m.filters[toxicity.OFFSETS.index((width, k))] for k in range(width) if p + k < len(embedded)) for p in range(len(embedded))]
+        out[a] = np.max(values, 0)
+    return out
+
+
+def random_cnn(rng):
+    widths, filters, dim = len(toxicity.WIDTHS), toxicity.FILTERS, toxicity.DIM
+    return toxicity.Cnn(rng.normal(0, 1, (toxicity.BUCKETS, dim)).astype(np.float32), rng.normal(0, 1, (len(toxicity.OFFSETS), dim, filters)).astype(np.float32), rng.normal(0, 1, (widths, filters)).astype(np.float32), rng.normal(0, 1, (widths, filters)).astype(np.float32), -0.3, np.arange(len(toxicity.LANGUAGES)) / 10)
+
+
+def test_toxicity_forward_pass_by_brute_force():
+    rng = np.random.default_rng(8)
+    m = random_cnn(rng)
+    texts = ["one", "the cat and the dog", "", None, "der hund und die katze ist nicht da", " ".join(f"w{i}" for i in rng.integers(0, 40, 300))]
+    got = m.scores(*flat(texts))
+    for t, s in zip(texts, got, strict=True):
+        w = words(*flat([t]))
+        logit = m.base
+        if len(w.hashes):
+            _, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
+            pooled = brute_pooled(m, toxicity.features(w, first), inverse)
+            logit += (np.maximum(pooled + m.bias, 0) * m.out).sum()
+        said = (t or "").lower().split()
+        hits = [sum(x in v.split() for x in said) for v in toxicity.FUNCTION_WORDS.values()]
+        language = int(np.argmax(hits)) if max(hits) else len(hits)
+        assert s == pytest.approx(1 / (1 + math.exp(-np.clip(logit - m.shift[language], -30, 30))), rel=1e-4)
+
+
+def test_toxicity_thresholds_by_brute_force():
+    """Each language's shift has the largest F1 over all thresholds."""
+    rng = np.random.default_rng(9)
+    m = random_cnn(rng)
+    language, y = rng.integers(0, 3, 400), rng.integers(0, 2, 400)
+    logit = y + rng.normal(0, 1.2, 400) + language
+    toxicity.calibrate(m, language, 1 - y, y, logit, logit)
+    for part, shift in [(language == k, m.shift[k]) for k in range(3)] + [(language >= 0, m.shift[3])]:
+        f1 = lambda least: 2 * (y[part] * (logit[part] >= least)).sum() / ((logit[part] >= least).sum() + y[part].sum())  # noqa: E731, B023
+        assert f1(shift) == pytest.approx(max(f1(x) for x in logit[part]))

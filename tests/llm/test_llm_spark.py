@@ -393,6 +393,20 @@ def test_toxicity_thresholds_from_all_rows_kept_apart(spark):
     assert len(fold) > 700 and f1(0.5) > max(f1(s) for s, _ in fold) - 0.005
 
 
+def test_toxicity_sample(spark, monkeypatch):
+    """About as many of each kind as asked for, whole texts within the bytes, one row for an id, whatever the order of rows."""
+    rows = [(i, f"text {i}") for i in range(3000)] + [(7, f"a{k}") for k in range(40)] + [(8, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(3000)], "doc_id bigint, toxic int")
+    found = [[tuple(r) for r in toxicity.sample_of(docs.repartition(n), labels, 400)] for n in (1, 5)]
+    ids = [r[0] for r in found[0]]
+    assert found[0] == found[1] and len(set(ids)) == len(ids) and all(320 < sum(r[2] == k for r in found[0]) < 480 for k in (0, 1))
+    every = {r["doc_id"]: r["text"] for r in toxicity.sample_of(docs, labels, 5000)}
+    assert len(every) == 3000 and every[7] == "a0" and every[8] == ""
+    monkeypatch.setattr(toxicity, "BYTES", 900)
+    assert 0 < sum(len(r["text"]) for r in toxicity.sample_of(docs, labels, 5000)) <= 900
+
+
 def test_labels_column_changes_no_score(docs, labels):
     from pyspark.sql import functions as F
 
