@@ -1,9 +1,10 @@
 """WARC writing, and a normaliser for archives compressed as one gzip stream.
 
 Archives travel as rows of a table (name, data), so they live in any store that Spark can write. The writer makes
-monolithic gzip streams; the normaliser inflates each stream once, slice by slice, rewrites every record as a member of
-its own and gives an index of (record, offset, length) beside the data; the reader fetches records through that index.
-Memory is bounded by an archive part and one record.
+monolithic gzip streams; the normaliser inflates each stream once, slice by slice, and rewrites every record as a member of
+its own. The sidecar index is a table of its own with a row (archive, part, record, offset, length) for each record, which
+is read without the data; the reader fetches records through it, all of them or those asked for. Memory is bounded by an
+archive part and one record.
 
 Defined results: a null payload is empty, a null address is urn:none. Of records with equal payloads of at least
 min_bytes, those with the largest id are responses, so repeated rows of that id are all responses, and rows whose id is
@@ -25,14 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import store, with_columns
+from tarnlake.llm.common import discard, store, with_columns
 
 GZIP = 31
 SLICE = 1 << 20
 #: Uncompressed bytes after which a writer begins the next archive, and compressed bytes of one normalised part.
 ARCHIVE, PART = 16 << 20, 8 << 20
-#: Rows of about 60 bytes of the table of repeated payloads that may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows of about 60 bytes of the tables of repeated payloads and of records that may be broadcast, and tasks that a frequent
+#: payload of a larger table is dealt to.
+BROADCAST_ROWS, SALTS = 100_000, 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -157,10 +159,13 @@ def with_references(pages: DataFrame, key: str, payload: str, min_bytes: int) ->
     pages = pages.withColumn(payload, F.coalesce(F.col(payload), F.lit(""))).withColumn("sha", F.sha1(payload))
     repeated = pages.where(F.octet_length(payload) >= min_bytes).groupBy("sha").agg(F.max(key).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "kept")
     repeated = store(repeated, "warc-repeated")
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
     older = F.col("kept").isNotNull() & (F.octet_length(payload) >= min_bytes) & (F.col(key).isNull() | (F.col(key) < F.col("kept")))
-    return pages.join(repeated, "sha", "left").withColumn("refers_to", F.when(older, F.col("kept"))).drop("sha", "kept")
+    if repeated.count() <= BROADCAST_ROWS:
+        found = pages.join(F.broadcast(repeated), "sha", "left")
+    else:
+        salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = pages.withColumn("salt", F.pmod(F.xxhash64(key, "url"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left").drop("salt")
+    return found.withColumn("refers_to", F.when(older, F.col("kept"))).drop("sha", "kept")
 
 
 def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 1) -> DataFrame:
@@ -194,8 +199,8 @@ ARCHIVES = pa.schema([("archive", pa.string()), ("data", pa.binary())])
 NORMAL = pa.schema([("archive", pa.string()), ("part", pa.int32()), ("data", pa.binary()), ("index", pa.list_(pa.struct([("record", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])))])
 
 
-def normalise_archives(archives: DataFrame, level: int = 6) -> DataFrame:
-    """(archive, part, data, index): archives whose every record is a gzip member, with the index of each part."""
+def normalise_archives(archives: DataFrame, level: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: (archive, part, data) of archives whose every record is a gzip member, and the sidecar (archive, part, record, offset, length). Each stream is inflated once."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -203,7 +208,9 @@ def normalise_archives(archives: DataFrame, level: int = 6) -> DataFrame:
                 for k, (out, index) in enumerate(normalise(data.as_py(), level)):
                     yield pa.RecordBatch.from_pydict({"archive": [name.as_py()], "part": [k], "data": [out], "index": [[dict(zip(("record", "offset", "length"), x, strict=True)) for x in index]]}, NORMAL)
 
-    return archives.select("archive", "data").mapInArrow(run, "archive string, part int, data binary, index array<struct<record:string,offset:bigint,length:bigint>>")
+    normal = store(archives.select("archive", "data").mapInArrow(run, "archive string, part int, data binary, index array<struct<record:string,offset:bigint,length:bigint>>"), "warc-normal", "uncompressed")
+    sidecar = store(normal.select("archive", "part", F.explode("index").alias("at")).select("archive", "part", "at.*"), "warc-sidecar")
+    return normal.select("archive", "part", "data"), sidecar
 
 
 def read_archive_files(spark, path: str) -> DataFrame:
@@ -211,8 +218,11 @@ def read_archive_files(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.col("path").alias("archive"), F.col("content").alias("data"))
 
 
-def read(normal: DataFrame) -> DataFrame:
-    """A row for each record, fetched through the index: (page_id, payload_bytes, payload_digest, record_type, refers_to, payload); a revisit's payload is null."""
+def read(data: DataFrame, sidecar: DataFrame) -> DataFrame:
+    """A row for each record of the sidecar, or of a part of it, fetched by its offset: (page_id, payload_bytes, payload_digest, record_type, refers_to, payload); a revisit's payload is null."""
+    few = sidecar.count() <= BROADCAST_ROWS
+    index = sidecar.groupBy("archive", "part").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "record"))).alias("index"))
+    joined = data.join(F.broadcast(index) if few else index, ["archive", "part"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -234,7 +244,7 @@ def read(normal: DataFrame) -> DataFrame:
                 if rows:
                     yield table_of(rows)
 
-    return normal.select("data", "index").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload string")
+    return joined.select("data", "index").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload string")
 
 
 RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())])
@@ -247,5 +257,6 @@ def table_of(rows: list[tuple]) -> pa.RecordBatch:
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes all pages, normalises the archives and reads them back."""
     mono = store(write(pages, min_bytes=min_bytes), "warc-mono", "uncompressed")
-    normal = store(normalise_archives(mono), "warc-normal", "uncompressed")
-    return read(normal)
+    data, sidecar = normalise_archives(mono)
+    discard(mono)
+    return read(data, sidecar)

@@ -445,9 +445,11 @@ def test_fingerprints(docs, none, spark):
     assert only["near_next"] == 1.0
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("bound", [warc.BROADCAST_ROWS, 0])
+def test_warc(spark, monkeypatch, bound):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", bound)
     rows = [(1, "http://a", "same", 0), (5, "http://b", "same", 0), (5, "http://b", "same", 0), (None, None, "same", 0), (2, "http://c", None, 0), (3, "http://d", "", 0), (4, "http://e", "é" * 5000, 0)]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, sha int")
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, sha int").withColumnRenamed("sha", "kept")
     got = collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect())
     digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
     assert got == collections.Counter({(1, 4, digest("same"), "revisit", 5): 1, (5, 4, digest("same"), "response", None): 2, (None, 4, digest("same"), "revisit", 5): 1, (2, 0, digest(""), "revisit", 3): 1, (3, 0, digest(""), "response", None): 1, (4, 10000, digest("é" * 5000), "response", None): 1})
@@ -455,6 +457,15 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_sidecar_fetches_single_records(spark):
+    pages = spark.createDataFrame([(i, f"http://{i}", prose(30)) for i in range(40)], "page_id bigint, url string, html string")
+    data, sidecar = warc.normalise_archives(warc.write(pages))
+    assert sidecar.columns == ["archive", "part", "record", "offset", "length"] and sidecar.count() == 40 and "index" not in data.columns
+    texts = {r["page_id"]: r["html"] for r in pages.collect()}
+    wanted = sidecar.where(sidecar["record"].isin(warc.record_id(7), warc.record_id(33)))
+    assert {r["page_id"]: r["payload"] for r in warc.read(data, wanted).collect()} == {k: texts[k] for k in (7, 33)}
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", CONTROL, "x"), (1, 0, "user", None, "x"), (2, 0, None, "no role", None), (None, 0, "user", "no id", None), (3, 0, "assistant", "twice", None), (3, 0, "assistant", "twice", None), (4, 2, "assistant", "<\\|<", None)]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, part string")
