@@ -15,7 +15,9 @@ both linked to the head h, or they share a shingle that h lacks, or they lack a
 of x and y is in h, and h in their union, so that both have a similarity of t to h. So the members of a star that holds more
 than one component meet again in finer buckets, one for each (h, shingle more or less than h), as stars around new heads,
 until no pair is new. Heads of finer buckets come later in the order, so this ends, and every link between members of
-a bucket ends in one component: no size of bucket is treated in another way, and none is capped. Of the shingles that set a
+a bucket ends in one component: no bucket is capped. Of finer buckets with up to WHOLE members, the pairs of different
+components whose sizes and distances to the head don't rule a link out are compared at once, which saves rounds and finds
+the same. Of the shingles that set a
 member apart only those are used that are needed: two linked texts differ in at most k = (1 - t) / t |x| shingles, so if
 there are more than 2 k, the first k + 1 of both by hash have one in common; and lacked ones matter only where t |x| of x is
 in h and what x and y each have more than h is at most (1 - t) / (1 + t) (|x| + |y|) in all.
@@ -52,6 +54,8 @@ REGISTERS = BANDS * ROWS
 EXTRA = 0.125
 #: Members of a star that are compared in one go.
 BLOCK = 256
+#: Members of a finer bucket up to which its open pairs are compared at once rather than as a star; either way loses no link.
+WHOLE = 512
 #: Rows of 32 bytes of a table that may be broadcast, and tasks that a hot name of a larger one is dealt to.
 BROADCAST_ROWS, SALTS = 200_000, 16
 #: Stored tables of comparisons that are read side by side.
@@ -172,8 +176,8 @@ def looked_up(df: DataFrame, column: str, table: DataFrame, out: str, default: s
     return dealt.join(salted, (F.col(column) == F.col("__id")) & (F.col("__deal") == F.col("__salt")), "left").select(*rest, found)
 
 
-MEMBERS = "a binary, b binary, similarity double, more array<bigint>, less array<bigint>, slack double"
-MEMBER_SCHEMA = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64()), ("more", pa.list_(pa.int64())), ("less", pa.list_(pa.int64())), ("slack", pa.float64())])
+MEMBERS = "a binary, b binary, similarity double, more array<bigint>, less array<bigint>, slack double, size int, apart int"
+MEMBER_SCHEMA = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64()), ("more", pa.list_(pa.int64())), ("less", pa.list_(pa.int64())), ("slack", pa.float64()), ("size", pa.int32()), ("apart", pa.int32())])
 
 
 def needed(apart: np.ndarray, k: int) -> np.ndarray:
@@ -181,17 +185,17 @@ def needed(apart: np.ndarray, k: int) -> np.ndarray:
     return apart if len(apart) <= 2 * k else apart[: k + 1]
 
 
-def member(head: np.ndarray, x: np.ndarray, t: float) -> tuple[float, np.ndarray, np.ndarray, float]:
-    """The similarity of ordered sets of shingles, what x has more and less than the head as far as needed, and by how much it has more than half of what two linked texts may."""
+def member(head: np.ndarray, x: np.ndarray, t: float) -> tuple[float, np.ndarray, np.ndarray, float, int, int]:
+    """The similarity of ordered sets of shingles, what x has more and less than the head as far as needed, by how much it has more than half of what two linked texts may, its size, and how many shingles set it apart."""
     more, less = np.setdiff1d(x, head, assume_unique=True), np.setdiff1d(head, x, assume_unique=True)
     both = len(x) - len(more)
     k = int((1 - t) / t * len(x) + 1e-9)
     inside = both >= t * len(x) - 1e-9
-    return both / max(1, len(head) + len(more)), needed(more, k), needed(less, k) if inside else less[:0], len(more) - (1 - t) / (1 + t) * len(x) - 1e-9
+    return both / max(1, len(head) + len(more)), needed(more, k), needed(less, k) if inside else less[:0], len(more) - (1 - t) / (1 + t) * len(x) - 1e-9, len(x), len(more) + len(less)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """MEMBERS of the pairs (a, b): a is a head. texts: (id, text) of all that occur."""
+def compare(pairs: DataFrame, texts: DataFrame, threshold: float, heads_too: bool = True) -> DataFrame:
+    """MEMBERS of the pairs (a, b): a is a head, or else no shingles are given. texts: (id, text) of all that occur."""
     large = store(pairs.groupBy(F.col("a").alias("id")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("value")).where("value > 1"), "neardup-large")
     dealt = looked_up(pairs.withColumn("one", F.lit(1)), "a", large, "blocks", "one").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("part"))
     dealt = store(dealt, "neardup-dealt")
@@ -212,9 +216,9 @@ def compare(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                         head = own.copy()
                     else:
                         rows.append((a, b, *member(head, own, threshold)))
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                lists = [pa.array([x.view(np.int64) for x in c], pa.list_(pa.int64())) for c in cols[3:5]]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.float64()), *lists, pa.array(cols[5], pa.float64())], schema=MEMBER_SCHEMA)
+                cols = list(zip(*rows, strict=True)) or [()] * 8
+                lists = [pa.array([x.view(np.int64) if heads_too else [] for x in c], pa.list_(pa.int64())) for c in cols[3:5]]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.float64()), *lists, pa.array(cols[5], pa.float64()), pa.array(cols[6], pa.int32()), pa.array(cols[7], pa.int32())], schema=MEMBER_SCHEMA)
 
     out = store(together.mapInArrow(run, MEMBERS), "neardup-checked")
     discard(large)
@@ -264,21 +268,30 @@ def stars(buckets: DataFrame, degrees: DataFrame) -> DataFrame:
 
 
 def finer(checked: DataFrame, heads: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(key, id): buckets of the members of one star that have the same shingle more, or less, than its head; of stars and buckets with one component there are none."""
+    """(key, id, label, size, apart, n): buckets of n members of one star that have the same shingle more, or less, than its head; of stars and buckets with one component there are none."""
     star = checked.join(heads, "a", "left_semi")
     if labels is None:
         star = star.withColumns({"la": F.col("a"), "lb": F.col("b")})
     else:
         star = looked_up(looked_up(star, "a", labels, "la", "a"), "b", labels, "lb", "b")
-    star = star.select("a", "b", "more", "less", "slack", F.xxhash64("la").alias("la"), F.xxhash64("lb").alias("lb"))
+    star = star.select("a", "b", "more", "less", "slack", "size", "apart", F.xxhash64("la").alias("la"), F.xxhash64("lb").alias("label"))
     # a star with one component needs no other look; of others, all members
-    several = store(star.where("la <> lb").select("a").distinct(), "neardup-several")
+    several = store(star.where("la <> label").select("a").distinct(), "neardup-several")
     star = star.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "a", "left_semi")
     sides = F.array(F.struct(F.lit(1).alias("side"), F.col("more").alias("by"), F.lit(0.0).alias("slack")), F.struct(F.lit(2).alias("side"), F.col("less").alias("by"), F.col("slack")))
-    keyed = star.select("a", "b", "lb", F.explode(sides).alias("s")).select("a", "b", "lb", "s.side", "s.slack", F.explode("s.by").alias("shingle"))
-    keyed = keyed.select(F.xxhash64("a", "side", "shingle").alias("key"), F.col("b").alias("id"), "lb", "slack")
-    shared = keyed.groupBy("key").agg(F.min("lb").alias("low"), F.max("lb").alias("high"), F.min("slack").alias("slack")).where("low <> high and slack <= 0").select("key")
-    return keyed.join(shared, "key", "left_semi").select("key", "id")
+    keyed = star.select("a", "b", "label", "size", "apart", F.explode(sides).alias("s")).select("a", "b", "label", "size", "apart", "s.side", "s.slack", F.explode("s.by").alias("shingle"))
+    keyed = keyed.select(F.xxhash64("a", "side", "shingle").alias("key"), F.col("b").alias("id"), "label", "size", "apart", "slack")
+    shared = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("slack").alias("slack"), F.count(F.lit(1)).alias("n")).where("low <> high and slack <= 0").select("key", "n")
+    return keyed.drop("slack").join(shared, "key")
+
+
+def within(buckets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members of different components that the sizes and distances to the head leave open, of the buckets of up to WHOLE members."""
+    few = buckets.where(F.col("n") <= WHOLE).drop("n")
+    other = few.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "label", "size", "apart")])
+    most = (1 - threshold) / (1 + threshold) * (F.col("size") + F.col("size_")) + 1e-6
+    open_ = (F.col("label") != F.col("label_")) & (F.abs(F.col("apart") - F.col("apart_")) <= most) & (F.abs(F.col("size") - F.col("size_")) <= most)
+    return few.join(other, "key").where((F.col("id") < F.col("id_")) & open_).select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
 
 
 def linked(texts: DataFrame, buckets: DataFrame, threshold: float) -> DataFrame | None:
@@ -286,20 +299,19 @@ def linked(texts: DataFrame, buckets: DataFrame, threshold: float) -> DataFrame
     size = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     degrees = store(buckets.join(size, "key").groupBy("id").agg(F.sum("n").alias("degree")), "neardup-degrees")
     tables: list[DataFrame] = []
-    labels, rounds = None, buckets
+    seen: DataFrame | None = None
+    labels, rounds, several = None, buckets, None
     while True:
         pairs = stars(rounds, degrees)
         for t in tables:
             pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
         pairs = store(pairs, "neardup-pairs")
-        if rounds is not buckets:
-            discard(rounds)
+        if several is not None:
+            discard(several)
         if not pairs.limit(1).count():
             break
         checked = compare(pairs, texts, threshold)
-        found = checked.where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
-        if found.limit(1).count():
-            labels = merged(labels, found)
+        labels = with_links(labels, checked, threshold)
         heads = store(pairs.select("a").distinct(), "neardup-heads")
         tables.append(checked)
         if len(tables) > TABLES:
@@ -307,14 +319,30 @@ def linked(texts: DataFrame, buckets: DataFrame, threshold: float) -> DataFrame
             for t in tables:
                 discard(t)
             tables = [whole]
-        rounds = store(finer(reduce(DataFrame.union, tables), heads, labels), "neardup-finer")
-        for scratch in (pairs, heads):
+        several = store(finer(reduce(DataFrame.union, tables), heads, labels), "neardup-finer")
+        found = within(several, threshold)
+        if seen is not None:
+            found = found.join(seen, ["a", "b"], "left_anti")
+        found = store(found, "neardup-within")
+        if found.limit(1).count():
+            checked = compare(found, texts, threshold, False)
+            labels = with_links(labels, checked, threshold)
+            discard(checked)
+        before, seen = seen, store(found if seen is None else seen.union(found), "neardup-seen")
+        for scratch in (pairs, heads, found, *([before] if before is not None else [])):
             discard(scratch)
-    for scratch in (pairs, degrees, *tables):
+        rounds = several.where(F.col("n") > WHOLE).select("key", "id")
+    for scratch in (pairs, degrees, *tables, *([seen] if seen is not None else [])):
         discard(scratch)
     return labels
 
 
+def with_links(labels: DataFrame | None, checked: DataFrame, threshold: float) -> DataFrame | None:
+    """The labels after the links among compared pairs."""
+    links = checked.where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
+    return merged(labels, links) if links.limit(1).count() else labels
+
+
 def classified(docs: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, id, class_id, first) of each row with a doc_id: id names its text, first the text of the class's row to keep."""
     signed = store(sign(docs.where("doc_id is not null")), "neardup-signed")

@@ -138,7 +138,7 @@ def components_of(sets, t=0.8):
     return label
 
 
-@pytest.mark.parametrize("bounds", [{}, {"BROADCAST_ROWS": 0, "BLOCK": 4, "TABLES": 1}])
+@pytest.mark.parametrize("bounds", [{}, {"WHOLE": 0, "BROADCAST_ROWS": 0, "BLOCK": 4, "TABLES": 1}, {"WHOLE": 4}])
 def test_every_link_in_a_bucket_is_found(spark, monkeypatch, bounds):
     """One bucket of all: chains, truncations and extensions of the head, families that aren't near it, unrelated texts; no link is lost at any size."""
     from pyspark.sql import functions as F
