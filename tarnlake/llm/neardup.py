@@ -10,17 +10,17 @@ least, however unequal its repeats are, and shares a band with probability 0.998
 
 Equal texts are one node from the start, named by a digest of the text: only one signature of each goes on, so thousands
 of copies meet no join. Buckets are never compared as all pairs. The member of a bucket that is first by (degree, name) is
-its head, and all others are compared with it. With x, y and h as sets of shingles, if x and y are linked, then x and y are
-both linked to the head h, or they share a shingle that h lacks, or they lack a shared shingle of h: else the common part
+its head, and all others are compared with it. With x, y and h as sets of shingles, let D(x) be the shingles that x has more
+or less than the head h. If x and y are linked, D(x) and D(y) share a shingle, or both are linked to h: else the common part
 of x and y is in h, and h in their union, so that both have a similarity of t to h. So the members of a star that holds more
-than one component meet again in finer buckets, one for each (h, shingle more or less than h), as stars around new heads,
-until no pair is new. Heads of finer buckets come later in the order, so this ends, and every link between members of
-a bucket ends in one component: no bucket is capped. Of finer buckets with up to WHOLE members, the pairs of different
-components whose sizes and distances to the head don't rule a link out are compared at once, which saves rounds and finds
-the same. Of the shingles that set a
-member apart only those are used that are needed: two linked texts differ in at most k = (1 - t) / t |x| shingles, so if
-there are more than 2 k, the first k + 1 of both by hash have one in common; and lacked ones matter only where t |x| of x is
-in h and what x and y each have more than h is at most (1 - t) / (1 + t) (|x| + |y|) in all.
+than one component meet again in finer buckets by (h, shingle of D), as stars around new heads, until no pair is new. Heads
+of finer buckets come later in the order, so this ends, and every link between members of a bucket ends in one component:
+none is capped. Not all of D is needed: D(x) and D(y) differ in no more shingles than x and y do, which if they are linked is
+at most d = (1 - t) / (1 + t) (|x| + |y|) <= k = (1 - t) / t |x|. They have (|D(x)| + |D(y)| - d) / 2 shingles in common then,
+so by any order one of the first (|D(x)| - |D(y)| + d) / 2 + 1 <= k + 1 of D(x) and as many of D(y) is; the order is from rare
+to frequent within the star. Of finer buckets with up
+to WHOLE members, the pairs of different components that these bounds leave open are compared at once, which saves rounds
+and finds the same.
 
 A star is compared in blocks of BLOCK members, each with the head's text once. Components come from label propagation over
 the new links between the components so far. Lookups by a hot name deal it to SALTS tasks; nothing of the texts, pairs or
@@ -176,25 +176,17 @@ def looked_up(df: DataFrame, column: str, table: DataFrame, out: str, default: s
     return dealt.join(salted, (F.col(column) == F.col("__id")) & (F.col("__deal") == F.col("__salt")), "left").select(*rest, found)
 
 
-MEMBERS = "a binary, b binary, similarity double, more array<bigint>, less array<bigint>, slack double, size int, apart int"
-MEMBER_SCHEMA = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64()), ("more", pa.list_(pa.int64())), ("less", pa.list_(pa.int64())), ("slack", pa.float64()), ("size", pa.int32()), ("apart", pa.int32())])
+MEMBERS = "a binary, b binary, similarity double, more array<bigint>, less array<bigint>, size int"
+MEMBER_SCHEMA = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64()), ("more", pa.list_(pa.int64())), ("less", pa.list_(pa.int64())), ("size", pa.int32())])
 
 
-def needed(apart: np.ndarray, k: int) -> np.ndarray:
-    """Of ordered shingles that set a text apart from a head, those by which texts that differ in at most k meet."""
-    return apart if len(apart) <= 2 * k else apart[: k + 1]
-
-
-def member(head: np.ndarray, x: np.ndarray, t: float) -> tuple[float, np.ndarray, np.ndarray, float, int, int]:
-    """The similarity of ordered sets of shingles, what x has more and less than the head as far as needed, by how much it has more than half of what two linked texts may, its size, and how many shingles set it apart."""
+def member(head: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, int]:
+    """The similarity of ordered sets of shingles, what x has more and less than the head, and its size."""
     more, less = np.setdiff1d(x, head, assume_unique=True), np.setdiff1d(head, x, assume_unique=True)
-    both = len(x) - len(more)
-    k = int((1 - t) / t * len(x) + 1e-9)
-    inside = both >= t * len(x) - 1e-9
-    return both / max(1, len(head) + len(more)), needed(more, k), needed(less, k) if inside else less[:0], len(more) - (1 - t) / (1 + t) * len(x) - 1e-9, len(x), len(more) + len(less)
+    return (len(x) - len(more)) / max(1, len(head) + len(more)), more, less, len(x)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, threshold: float, heads_too: bool = True) -> DataFrame:
+def compare(pairs: DataFrame, texts: DataFrame, heads_too: bool = True) -> DataFrame:
     """MEMBERS of the pairs (a, b): a is a head, or else no shingles are given. texts: (id, text) of all that occur."""
     large = store(pairs.groupBy(F.col("a").alias("id")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("value")).where("value > 1"), "neardup-large")
     dealt = looked_up(pairs.withColumn("one", F.lit(1)), "a", large, "blocks", "one").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("part"))
@@ -215,10 +207,10 @@ def compare(pairs: DataFrame, texts: DataFrame, threshold: float, heads_too: boo
                     if b is None:
                         head = own.copy()
                     else:
-                        rows.append((a, b, *member(head, own, threshold)))
-                cols = list(zip(*rows, strict=True)) or [()] * 8
+                        rows.append((a, b, *member(head, own)))
+                cols = list(zip(*rows, strict=True)) or [()] * 6
                 lists = [pa.array([x.view(np.int64) if heads_too else [] for x in c], pa.list_(pa.int64())) for c in cols[3:5]]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.float64()), *lists, pa.array(cols[5], pa.float64()), pa.array(cols[6], pa.int32()), pa.array(cols[7], pa.int32())], schema=MEMBER_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.float64()), *lists, pa.array(cols[5], pa.int32())], schema=MEMBER_SCHEMA)
 
     out = store(together.mapInArrow(run, MEMBERS), "neardup-checked")
     discard(large)
@@ -267,31 +259,43 @@ def stars(buckets: DataFrame, degrees: DataFrame) -> DataFrame:
     return buckets.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def finer(checked: DataFrame, heads: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(key, id, label, size, apart, n): buckets of n members of one star that have the same shingle more, or less, than its head; of stars and buckets with one component there are none."""
+def finer(checked: DataFrame, heads: DataFrame, labels: DataFrame | None, t: float) -> DataFrame:
+    """(key, id, label, size, more, less, rank, n): buckets of n members of one star that have the same shingle more, or less, than its head; of stars and buckets with one component there are none. more, less: how many; rank: of the shingle among the member's, from rare to frequent."""
     star = checked.join(heads, "a", "left_semi")
     if labels is None:
         star = star.withColumns({"la": F.col("a"), "lb": F.col("b")})
     else:
         star = looked_up(looked_up(star, "a", labels, "la", "a"), "b", labels, "lb", "b")
-    star = star.select("a", "b", "more", "less", "slack", "size", "apart", F.xxhash64("la").alias("la"), F.xxhash64("lb").alias("label"))
+    star = star.select("a", "b", "more", "less", "size", F.xxhash64("la").alias("la"), F.xxhash64("lb").alias("label"))
     # a star with one component needs no other look; of others, all members
     several = store(star.where("la <> label").select("a").distinct(), "neardup-several")
     star = star.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "a", "left_semi")
-    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("more").alias("by"), F.lit(0.0).alias("slack")), F.struct(F.lit(2).alias("side"), F.col("less").alias("by"), F.col("slack")))
-    keyed = star.select("a", "b", "label", "size", "apart", F.explode(sides).alias("s")).select("a", "b", "label", "size", "apart", "s.side", "s.slack", F.explode("s.by").alias("shingle"))
-    keyed = keyed.select(F.xxhash64("a", "side", "shingle").alias("key"), F.col("b").alias("id"), "label", "size", "apart", "slack")
-    shared = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("slack").alias("slack"), F.count(F.lit(1)).alias("n")).where("low <> high and slack <= 0").select("key", "n")
-    return keyed.drop("slack").join(shared, "key")
+    keys = F.array_union(F.transform("more", lambda x: F.xxhash64(F.lit(1), x)), F.transform("less", lambda x: F.xxhash64(F.lit(2), x)))
+    apart = star.select("a", "b", "label", "size", F.size("more").alias("more"), F.size("less").alias("less"), F.explode(keys).alias("shingle"))
+    apart = store(apart.select("*", F.xxhash64("a", "shingle").alias("key")), "neardup-apart")
+    times = apart.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "key"))
+    k = F.col("size") * ((1 - t) / t) + 1e-6
+    keyed = apart.join(times, "key").withColumn("rank", rank).where(F.col("rank") <= F.floor(k) + 1)
+    keyed = store(keyed.select("key", F.col("b").alias("id"), "label", "size", "more", "less", "rank"), "neardup-keyed")
+    shared = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
+    out = store(keyed.join(shared, "key"), "neardup-finer")
+    for scratch in (several, apart, keyed):
+        discard(scratch)
+    return out
 
 
-def within(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of members of different components that the sizes and distances to the head leave open, of the buckets of up to WHOLE members."""
+def within(buckets: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) of members of different components that the bounds leave open, of the buckets of up to WHOLE members."""
     few = buckets.where(F.col("n") <= WHOLE).drop("n")
-    other = few.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "label", "size", "apart")])
-    most = (1 - threshold) / (1 + threshold) * (F.col("size") + F.col("size_")) + 1e-6
-    open_ = (F.col("label") != F.col("label_")) & (F.abs(F.col("apart") - F.col("apart_")) <= most) & (F.abs(F.col("size") - F.col("size_")) <= most)
-    return few.join(other, "key").where((F.col("id") < F.col("id_")) & open_).select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
+    other = few.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "label", "size", "more", "less", "rank")])
+    most = (1 - t) / (1 + t) * (F.col("size") + F.col("size_")) + 1e-6
+    differ = F.abs(F.col("more") - F.col("more_")) + F.abs(F.col("less") - F.col("less_"))
+    longer = F.col("more") + F.col("less") - F.col("more_") - F.col("less_")
+    # so many of each one's first shingles hold a common one
+    early = (F.col("rank") <= (longer + most) / 2 + 1) & (F.col("rank_") <= (most - longer) / 2 + 1)
+    found = few.join(other, "key").where((F.col("id") < F.col("id_")) & (F.col("label") != F.col("label_")) & (differ <= most) & early)
+    return found.select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
 
 
 def linked(texts: DataFrame, buckets: DataFrame, threshold: float) -> DataFrame | None:
@@ -310,7 +314,7 @@ def linked(texts: DataFrame, buckets: DataFrame, threshold: float) -> DataFrame
             discard(several)
         if not pairs.limit(1).count():
             break
-        checked = compare(pairs, texts, threshold)
+        checked = compare(pairs, texts)
         labels = with_links(labels, checked, threshold)
         heads = store(pairs.select("a").distinct(), "neardup-heads")
         tables.append(checked)
@@ -319,13 +323,13 @@ def linked(texts: DataFrame, buckets: DataFrame, threshold: float) -> DataFrame
             for t in tables:
                 discard(t)
             tables = [whole]
-        several = store(finer(reduce(DataFrame.union, tables), heads, labels), "neardup-finer")
+        several = finer(reduce(DataFrame.union, tables), heads, labels, threshold)
         found = within(several, threshold)
         if seen is not None:
             found = found.join(seen, ["a", "b"], "left_anti")
         found = store(found, "neardup-within")
         if found.limit(1).count():
-            checked = compare(found, texts, threshold, False)
+            checked = compare(found, texts, False)
             labels = with_links(labels, checked, threshold)
             discard(checked)
         before, seen = seen, store(found if seen is None else seen.union(found), "neardup-seen")
