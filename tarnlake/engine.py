@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -39,21 +41,30 @@ class Result:
 
 
 class Session:
-    """Runs statements. In a transaction it reads its base version and its own staged changes only."""
+    """Runs statements. In a transaction it reads its base version and its own staged changes only; as a view, a version that it can't change."""
 
     def __init__(self, engine: Engine) -> None:
         self.engine = engine
         self.base: Snapshot | None = None
         self.staged: Snapshot | None = None
+        self.view: Snapshot | None = None
+        self.lease = ""
 
     @property
     def in_transaction(self) -> bool:
         return self.staged is not None
 
     def snapshot(self) -> Snapshot:
+        if self.view is not None:
+            return self.view
         return self.staged if self.staged is not None else self.engine.catalog.load()
 
+    def writable(self) -> None:
+        if self.view is not None:
+            raise QueryError(f"version {self.view.version} is read-only")
+
     def change(self, base: Snapshot, after: Snapshot) -> None:
+        self.writable()
         if self.in_transaction:
             self.staged = after
         else:
@@ -62,13 +73,27 @@ class Session:
     def begin(self) -> Result:
         if self.in_transaction:
             raise QueryError("already in a transaction")
-        self.base = self.staged = self.engine.catalog.load()
+        self.writable()
+        catalog = self.engine.catalog
+        while True:  # until the version that the lease names is there for certain
+            base = catalog.load()
+            self.lease = catalog.lease(f"v{base.version}-{uuid.uuid4().hex}")
+            if not base.version or base.version in catalog.versions():
+                break
+            catalog.release(self.lease)
+        self.base = self.staged = base
         return Result(message="BEGIN")
 
+    def ended(self) -> tuple[Snapshot, Snapshot]:
+        base, staged, self.base, self.staged = self.base, self.staged, None, None
+        self.engine.catalog.release(self.lease)
+        return base, staged
+
     def commit(self) -> Result:
         """Publishes a transaction; outside of one all is published already."""
+        self.writable()
         if self.in_transaction:
-            base, staged, self.base, self.staged = self.base, self.staged, None, None
+            base, staged = self.ended()
             if staged != base:
                 self.engine.catalog.publish(base, staged)
         return Result(message="COMMIT")
@@ -76,7 +101,8 @@ class Session:
     def rollback(self) -> Result:
         if not self.in_transaction:
             raise QueryError("not in a transaction")
-        self.base = self.staged = None
+        base, staged = self.ended()
+        self.engine.catalog.discard({p for t in staged.tables.values() for p in t.parts} - {p for t in base.tables.values() for p in t.parts})
         return Result(message="ROLLBACK")
 
     def sql(self, text: str) -> Result:
@@ -94,6 +120,7 @@ class Session:
                 snapshot = self.snapshot()
                 return Result(compile_select(s, lambda n: self.engine.relation(n, snapshot), self.engine.compat, self.engine.spark))
             case S.Transaction(kind):
+                self.writable()
                 return {"begin": self.begin, "commit": self.commit, "rollback": self.rollback}[kind]()
             case S.CreateTable():
                 return self.create_table(s)
@@ -175,60 +202,66 @@ class Session:
         if table.key:
             at = [c.name for c in table.columns].index(table.key)
             rows = list({r[at]: r for r in rows}.values())
-        new = self.engine.spark.createDataFrame(rows, table.schema())
-        self.write(base, table, new, [r[at] for r in rows] if table.key else None, len(rows))
+        new = self.engine.spark.createDataFrame(rows, table.schema()).coalesce(1)
+        self.write(base, table, new, [r[at] for r in rows] if table.key else None)
         return n
 
     def upsert(self, name: str, new: DataFrame) -> None:
-        """Upserts a DataFrame of any size; its keys must be distinct."""
+        """Upserts a DataFrame of any size. Null keys, repeated keys and nulls in columns that must not be null are errors, and nothing is changed then."""
         base = self.snapshot()
         table = self.engine.table_info(name, base)
         new = new.select(*[F.col(c.name).cast(f.dataType).alias(c.name) for c, f in zip(table.columns, table.schema().fields, strict=True)])
-        self.write(base, table, new, None, None)
+        self.write(base, table, new, None)
 
-    def write(self, base: Snapshot, table: TableInfo, new: DataFrame, keys: list | None, count: int | None) -> None:
+    def write(self, base: Snapshot, table: TableInfo, new: DataFrame, keys: list | None) -> None:
+        """Puts rows in place of those with their keys. keys: those of checked literal rows."""
+        self.writable()
         catalog = self.engine.catalog
         added = catalog.write(table, new)
-        new = catalog.read(table, (added,))
-        hit: tuple[str, ...] = ()
-        if table.key and table.parts:
-            old = catalog.read(table)
-            matched = old.where(F.col(table.key).isin(keys)) if keys is not None and len(keys) <= 1000 else old.join(new.select(table.key), table.key, "left_semi")
-            hit = parts_of(matched, table)
-        parts = [p for p in table.parts if p not in hit] + [added]
-        if hit:
-            kept = catalog.read(table, hit).join(new.select(table.key), table.key, "left_anti").select(*[c.name for c in table.columns])
-            parts.append(catalog.write(table, kept))
-        after = replace(table, parts=tuple(parts))
-        rows = catalog.read(after).count() if hit or count is None else table.rows + count
-        after = replace(after, rows=rows)
-        for i in base.indexes.values():
-            if i.unique and i.table == table.name.lower():
-                check_unique(catalog.read(after), i)
-        self.change(base, base.with_table(after))
-
-    def rewrite(self, base: Snapshot, table: TableInfo, condition, change) -> int:
-        """Rewrites the parts that hold rows of the condition; the number of those rows."""
+        written = set(added)
+        try:
+            new = catalog.read(table, added)
+            if keys is None:
+                check_rows(new, table)
+            hits: dict[str, int] = {}
+            if table.key and table.parts:
+                old = with_files(catalog.read(table))
+                matched = old.where(F.col(table.key).isin(keys)) if keys is not None and len(keys) <= 1000 else old.join(new.select(table.key), table.key, "left_semi")
+                hits = hits_by_part(matched)
+            kept: tuple[str, ...] = ()
+            if hits:
+                kept = catalog.write(table, catalog.read(table, tuple(hits)).join(new.select(table.key), table.key, "left_anti").select(*[c.name for c in table.columns]))
+                written |= set(kept)
+            parts = (*[p for p in table.parts if p not in hits], *added, *kept)
+            after = replace(table, parts=parts, rows=table.rows - sum(hits.values()) + new.count())
+            for i in base.indexes.values():
+                if i.unique and i.table == table.name.lower():
+                    check_unique(catalog.read(after), i)
+            self.change(base, base.with_table(after))
+        except BaseException:
+            catalog.discard(written)
+            raise
+
+    def rewrite(self, base: Snapshot, table: TableInfo, condition, change, changed: set[str] | None = None) -> int:
+        """Rewrites the files that hold rows of the condition; the number of those rows. changed: the columns that get new values, or None if rows go."""
+        self.writable()
         catalog = self.engine.catalog
-        hit_rows = catalog.read(table).where(F.coalesce(condition, F.lit(False)))
-        found = hit_rows.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()
-        n = sum(r["n"] for r in found)
+        hits = hits_by_part(with_files(catalog.read(table)).where(F.coalesce(condition, F.lit(False))))
+        n = sum(hits.values())
         if not n:
             return 0
-        hit = tuple(p for p in table.parts if any(f"/{p}/" in r["file"] for r in found))
-        part = catalog.write(table, change(catalog.read(table, hit)))
-        after = replace(table, parts=(*[p for p in table.parts if p not in hit], part))
-        after = replace(after, rows=catalog.read(after).count())
-        df = catalog.read(after)
-        if table.key and df.groupBy(table.key).count().where("count > 1").limit(1).count():
-            raise QueryError(f"two rows would have one {table.key}")
-        for c in after.columns:
-            if not c.nullable and df.where(F.col(c.name).isNull()).limit(1).count():
-                raise QueryError(f"column {c.name} must not be null")
-        for i in base.indexes.values():
-            if i.unique and i.table == table.name.lower():
-                check_unique(df, i)
-        self.change(base, base.with_table(after))
+        written = catalog.write(table, change(catalog.read(table, tuple(hits))))
+        try:
+            after = replace(table, parts=(*[p for p in table.parts if p not in hits], *written), rows=table.rows if changed is not None else table.rows - n)
+            if changed:
+                check_rows(catalog.read(after) if table.key in changed else catalog.read(table, written), table, changed)
+                for i in base.indexes.values():
+                    if i.unique and i.table == table.name.lower() and changed & set(i.columns):
+                        check_unique(catalog.read(after), i)
+            self.change(base, base.with_table(after))
+        except BaseException:
+            catalog.discard(set(written))
+            raise
         return n
 
     def update(self, s: S.Update) -> Result:
@@ -237,7 +270,7 @@ class Session:
         scope = row_scope(Table(self.engine.catalog.read(table), table.key), self.engine.compat)
         condition = scope.condition(s.where) if s.where is not None else F.lit(True)
         new = {canonical(table, c).name: scope.value(e).column for c, e in s.changes}
-        n = self.rewrite(base, table, condition, lambda df: changes.update(df, new, condition))
+        n = self.rewrite(base, table, condition, lambda df: changes.update(df, new, condition), set(new))
         return Result(message=f"Updated {n} row(s)", row_count=n)
 
     def delete(self, s: S.Delete) -> Result:
@@ -291,9 +324,31 @@ def check_unique(df: DataFrame, index: IndexInfo) -> None:
         raise QueryError(f"index {index.name} would not be unique")
 
 
-def parts_of(matched: DataFrame, table: TableInfo) -> tuple[str, ...]:
-    files = [r[0] for r in matched.select(F.input_file_name()).distinct().collect()]
-    return tuple(p for p in table.parts if any(f"/{p}/" in f for f in files))
+def check_rows(df: DataFrame, table: TableInfo, columns: set[str] | None = None) -> None:
+    """That the columns, or all, hold no null where they must not, and the key no value twice."""
+    full = [c.name for c in table.columns if (c.key or not c.nullable) and (columns is None or c.name in columns)]
+    if full:
+        nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in full]).first()
+        for c in full:
+            if nulls[c]:
+                raise QueryError(f"column {c} must not be null")
+    if table.key and (columns is None or table.key in columns) and df.groupBy(table.key).count().where("count > 1").limit(1).count():
+        raise QueryError(f"two rows would have one {table.key}")
+
+
+#: A column name that no statement can write.
+FILE = "\0file"
+
+
+def with_files(df: DataFrame) -> DataFrame:
+    """df with the file of each row, named before any join."""
+    return df.withColumn(FILE, F.input_file_name())
+
+
+def hits_by_part(matched: DataFrame) -> dict[str, int]:
+    """The number of rows by the file that holds them."""
+    found = matched.groupBy(F.col(f"`{FILE}`").alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {"/".join(unquote(r["file"]).rsplit("/", 2)[1:]): r["n"] for r in found}
 
 
 class Engine:
@@ -393,7 +448,9 @@ class Engine:
         return self.session.query(text)
 
     def new_session(self) -> Session:
-        return Session(self)
+        out = Session(self)
+        out.view = self.session.view
+        return out
 
     @contextmanager
     def transaction(self) -> Iterator[Session]:
@@ -415,6 +472,7 @@ class Engine:
     flush = commit
 
     def compact(self) -> str:
+        self.session.writable()
         base = self.catalog.load()
         after, tables, parts = maintain.compact(self.catalog, base)
         if not tables:
@@ -423,9 +481,15 @@ class Engine:
         return f"Compacted {parts} parts of {tables} table(s)"
 
     def gc(self, keep: int = 5) -> str:
+        self.session.writable()
         versions, parts = maintain.collect_garbage(self.catalog, keep)
         return f"Removed {versions} version(s) and {parts} part(s)"
 
+    def estimate_distinct(self, table: str, *columns: str) -> int:
+        """About how many distinct values the columns have together."""
+        info = self.table_info(table)
+        return maintain.estimate_distinct(self.table(table), *[canonical(info, c).name for c in columns])
+
     def stats(self) -> dict:
         return maintain.stats(self.catalog, self.session.snapshot())
 
@@ -450,7 +514,7 @@ class Engine:
         """A read-only view of a version."""
         out = Engine(self.spark, self.catalog.folder.root, "compat" if self.compat else "ansi")
         out.external = dict(self.external)
-        out.session.base = out.session.staged = self.catalog.load(version)
+        out.session.view = out.catalog.load(version)
         return out
 
     def benchmark(self, n: int = 1000, table: str = "_benchmark") -> dict:

@@ -8,7 +8,7 @@ Names follow the operators of the syntax tree.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ class Value:
     kind: str  #: number, text, truth, null or other
     literal: object = None
     never_null: bool = False
+    whole: bool = False  #: of a type of integers
 
 
 def kind_of(t: T.DataType) -> str:
@@ -40,11 +41,18 @@ def kind_of(t: T.DataType) -> str:
     return "null" if isinstance(t, T.NullType) else "other"
 
 
+def sort_key(v: Value) -> Column:
+    """What values of compat are ordered by: numbers, also those in texts, by value, and other texts by their bytes, before the numbers if they come before the digits. Null for null."""
+    x, text = as_number(v), as_text(v)
+    rank = F.when(x.isNotNull(), 1).otherwise(F.when(text < "0", 0).otherwise(2))
+    return F.when(v.column.isNotNull(), F.struct(rank.alias("rank"), F.coalesce(x, F.lit(0.0)).alias("number"), text.alias("text")))
+
+
 def literal(v: object) -> Value:
     if v is None:
         return Value(F.lit(None), "null")
     kind = "truth" if isinstance(v, bool) else "text" if isinstance(v, str) else "number"
-    return Value(F.lit(v), kind, v, True)
+    return Value(F.lit(v), kind, v, True, kind == "number" and isinstance(v, int))
 
 
 def as_text(v: Value) -> Column:
@@ -148,6 +156,9 @@ def add(a: Value, b: Value, compat: bool) -> Value:
 
 
 def arithmetic(op: str, a: Value, b: Value, compat: bool) -> Value:
+    if a.whole and b.whole and op != "/":  # integers have 64 bits, whatever the scan's type
+        a, b = (replace(v, column=v.column.cast("bigint")) for v in (a, b))
+        return replace(arithmetic(op, replace(a, whole=False), replace(b, whole=False), compat), whole=True)
     if op == "+":
         return add(a, b, compat)
     if op == "/":

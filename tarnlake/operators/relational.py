@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.functions.semantics import Value, as_number
+from tarnlake.functions.semantics import Value, as_number, sort_key
 
 
 def key_range(df: DataFrame, key: str, low: object = None, high: object = None) -> DataFrame:
@@ -34,6 +34,9 @@ def aggregation(name: str, of: Value, distinct: bool, compat: bool) -> tuple[Col
     if name == "count":
         return (F.count_distinct(column) if distinct else F.count(column)), "number"
     if name in ("min", "max"):
+        if compat and of.kind == "text":  # by value where texts are numbers
+            both = F.when(column.isNotNull(), F.struct(sort_key(of).alias("key"), column.alias("value")))
+            return (F.min(both) if name == "min" else F.max(both))["value"], of.kind
         return (F.min(column) if name == "min" else F.max(column)), of.kind
     if of.kind != "number" and compat:
         column = as_number(of)
@@ -55,10 +58,11 @@ def distinct(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
-def ordered(df: DataFrame, keys: list[tuple[str, bool]], limit: int | None, offset: int | None) -> DataFrame:
-    """Nulls are lowest: first in rising order, last in falling order. A sort with a limit is one top-k step."""
+def ordered(df: DataFrame, keys: list[tuple[str, bool, bool]], limit: int | None, offset: int | None) -> DataFrame:
+    """Nulls are lowest: first in rising order, last in falling order. keys: name, whether descending, whether a text in compat's order. A sort with a limit is one top-k step."""
     if keys:
-        df = df.orderBy(*[F.col(k).desc_nulls_last() if descending else F.col(k).asc_nulls_first() for k, descending in keys])
+        by = [(sort_key(Value(F.col(k), "text")) if loose else F.col(k), descending) for k, descending, loose in keys]
+        df = df.orderBy(*[c.desc_nulls_last() if descending else c.asc_nulls_first() for c, descending in by])
     if offset:
         df = df.offset(offset)
     return df if limit is None else df.limit(limit)

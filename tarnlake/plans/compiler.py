@@ -56,7 +56,7 @@ class Scope:
     groups: dict[str, T.DataType] = field(default_factory=dict)
     results: dict[str, Column] = field(default_factory=dict)  #: aggregations by the name they get
     aliases: dict[str, S.Expr] = field(default_factory=dict)
-    order_key: str | None = None  #: of the source rows, for bare columns in groups
+    order_key: tuple[str, ...] = ()  #: of the source rows: the keys of all relations, for bare columns in groups
     resolving: tuple[str, ...] = ()
 
     def locate(self, c: S.Column) -> tuple[str, T.DataType] | None:
@@ -85,8 +85,8 @@ class Scope:
         if self.grouped and inner not in self.groups:
             if not (self.compat and self.order_key):
                 raise QueryError(f"column {S.shown(c)} must be grouped or aggregated")
-            return E.Value(self.result(F.min_by(quoted(inner), quoted(self.order_key)), f"first {inner}"), kind)
-        return E.Value(quoted(inner), kind)
+            return E.Value(self.result(F.min_by(quoted(inner), F.struct(*map(quoted, self.order_key))), f"first {inner}"), kind)
+        return E.Value(quoted(inner), kind, whole=isinstance(found[1], T.IntegralType))
 
     def result(self, aggregation: Column, what: str) -> Column:
         self.results.setdefault(what, aggregation)
@@ -177,12 +177,16 @@ def compile_select(select: S.Select, lookup: Lookup, compat: bool, spark: SparkS
             if found is None:
                 raise QueryError(f"column {S.shown(c)} does not exist")
             groups[found[0]] = found[1]
-        scope = Scope(scope.relations, compat, True, groups, order_key=scope.relations[0].key if scope.relations else None)
+        scope = Scope(scope.relations, compat, True, groups, order_key=tuple(b.key for b in scope.relations) if all(b.key for b in scope.relations) else ())
     values = [scope.value(i.value) for i in items]
     scope.aliases = aliases
     having = scope.condition(select.having) if select.having is not None else None
     keys = [(sort_position(k.value, items), k) for k in select.order]
     sorts = [(f"o{n}" if n is not None else None, None if n is not None else scope.value(k.value), k.descending) for n, k in keys]
+    first = ""
+    if scope.grouped and compat and scope.groups and scope.order_key and not sorts:
+        first = "first row"  # groups come as their first rows do
+        scope.result(F.min(F.struct(*map(quoted, scope.order_key))), first)
     if scope.grouped:
         df = R.group(df, [quoted(g) for g in scope.groups], [c.alias(n) for n, c in scope.results.items()])
         if having is not None:
@@ -192,14 +196,18 @@ def compile_select(select: S.Select, lookup: Lookup, compat: bool, spark: SparkS
         own = [b.key for b in scope.relations if b.key]
         hidden = [(quoted(k).alias(f"s{j}"), f"s{j}") for j, k in enumerate(own)]
         sorts = [(name, None, False) for _, name in hidden]
+    if first:
+        hidden, sorts = [(quoted(first).alias("s0"), "s0")], [("s0", None, False)]
     if select.distinct and hidden:
         if select.order:
             raise QueryError("ORDER BY of DISTINCT rows must name selected columns")
         hidden, sorts = [], [(f"o{n}", None, False) for n in range(len(items))]
+    kinds = {f"o{i}": v.kind for i, v in enumerate(values)} | {f"s{j}": v.kind for j, (_, v, _) in enumerate(sorts) if v is not None}
     out = df.select(*[v.column.alias(f"o{i}") for i, v in enumerate(values)], *[c for c, _ in hidden])
     if select.distinct:
         out = R.distinct(out)
-    out = R.ordered(out, [(name or f"s{j}", descending) for j, (name, _, descending) in enumerate(sorts)], select.limit, select.offset)
+    by = [(name or f"s{j}", descending) for j, (name, _, descending) in enumerate(sorts)]
+    out = R.ordered(out, [(name, descending, compat and kinds.get(name) == "text") for name, descending in by], select.limit, select.offset)
     out = out.select(*[f"o{i}" for i in range(len(items))])
     return out.toDF(*[i.alias or S.shown(i.value) if not isinstance(i.value, S.Column) else i.alias or i.value.name for i in items])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
@@ -29,6 +31,10 @@ class Folder:
     def size(self, *names: str) -> int:
         return self.fs.getContentSummary(self.path(*names)).getLength()
 
+    def age(self, *names: str) -> float:
+        """Seconds since a file was written."""
+        return time.time() - self.fs.getFileStatus(self.path(*names)).getModificationTime() / 1000
+
     def read(self, *names: str) -> str:
         stream = self.fs.open(self.path(*names))
         try:

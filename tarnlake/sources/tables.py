@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
+from tarnlake.errors import EngineError
 from tarnlake.plans.compiler import Table
 
 #: The unique column of each table that has one.
@@ -20,5 +21,9 @@ def parquet_lookup(spark: SparkSession, folder: str) -> Callable[[str], Table]:
 
 def scratch_root(spark: SparkSession) -> str:
     """A new folder that the driver and all executors share, in spark.checkpoint.dir where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tarnlake-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tarnlake-")
     return f"{base.rstrip('/')}/database-{uuid.uuid4().hex}"
