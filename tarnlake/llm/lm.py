@@ -3,8 +3,8 @@
 The root restaurant serves words; below it stands one restaurant for each of RESTAURANTS hashes of the word before,
 which all share the root as their parent: a table of theirs is a customer of the root. How many tables serve a dish is
 sampled by Gibbs sweeps, a dish of a restaurant at a time given all others: with up to EXACT customers from its exact
-conditional by generalised Stirling numbers, beyond that by seating the rest one table after another, with the wait for
-the next table drawn at once. Within a sweep restaurants and root see the totals of the sweep before. Discounts come
+conditional by generalised Stirling numbers; of more, the first EXACT so and the rest one table after another, in TRIALS
+trials of which one is taken by importance weights, so that the draw nears the same conditional (the README has figures). Within a sweep restaurants and root see the totals of the sweep before. Discounts come
 from counts of ones and twos, concentrations are sampled given the tables. A token's probability is the mean over the kept
 samples; a text's score sums its tokens' logarithms.
 
@@ -21,7 +21,7 @@ training rows every probability is one. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,10 +34,16 @@ from pyspark.sql import functions as F
 from tarnlake.llm.common import discard, partitions, pieces, remainder, store, utf8, with_columns
 from tarnlake.llm.words import mix, words
 
-RESTAURANTS = 1 << 16
+ROOM_BITS = 18
+RESTAURANTS = 1 << ROOM_BITS
 SWEEPS, KEPT = 4, 2
-EXACT = 64
+#: Customers of a dish up to which its tables have their exact conditional.
+EXACT = 512
+#: Trials of which one is chosen for a dish of more.
+TRIALS = 32
 CHUNK = 4 << 20
+#: Bytes of training text for each bucket, at least; there are no fewer buckets than shuffle partitions.
+BUCKET = 256 << 20
 #: Rows read to find the words that are spread, and the share of a bucket from which a word is.
 SAMPLE_ROWS, SPREAD = 20_000, 0.3
 END, BEGIN = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
@@ -88,22 +94,27 @@ def grouped(word: np.ndarray, room: np.ndarray, doc: np.ndarray, spread: np.ndar
     """By bucket: distinct words, their number of entries, and of each entry the restaurant, document and occurrences; entries go by word hash, restaurant, document."""
     distinct, number = np.unique(word, return_inverse=True)
     bucket = bucket_of(word, room, spread, n)
-    widths = [max(1, int(x).bit_length()) for x in (len(distinct), RESTAURANTS, doc.max() + 1, n)]
-    if sum(widths) > 64:
-        raise ValueError("a chunk has too many documents and words")
-    key = bucket.astype(np.uint64)
-    for x, bits in ((number, widths[0]), (room, widths[1]), (doc, widths[2])):
-        key = key << np.uint64(bits) | x.astype(np.uint64)
-    key.sort()
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    times = np.diff(np.append(first, len(key)))
-    key = key[first]
-    doc = (key & np.uint64((1 << widths[2]) - 1)).astype(np.uint32)
-    key >>= np.uint64(widths[2])
-    room = (key & np.uint64((1 << widths[1]) - 1)).astype(np.uint16)
-    key >>= np.uint64(widths[1])
-    number = (key & np.uint64((1 << widths[0]) - 1)).astype(np.int64)
-    bucket = (key >> np.uint64(widths[0])).astype(np.int64)
+    widths = [max(1, int(x).bit_length()) for x in (len(distinct) - 1, RESTAURANTS - 1, doc.max(), n - 1)]
+    if sum(widths) <= 64:  # one number for each token sorts fastest
+        key = bucket.astype(np.uint64)
+        for x, bits in ((number, widths[0]), (room, widths[1]), (doc, widths[2])):
+            key = key << np.uint64(bits) | x.astype(np.uint64)
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        times = np.diff(np.append(first, len(key)))
+        key = key[first]
+        doc = key & np.uint64((1 << widths[2]) - 1)
+        key >>= np.uint64(widths[2])
+        room = key & np.uint64((1 << widths[1]) - 1)
+        key >>= np.uint64(widths[1])
+        number, bucket = key & np.uint64((1 << widths[0]) - 1), key >> np.uint64(widths[0])
+    else:
+        order = np.lexsort((doc, room, number, bucket))
+        columns = [x[order] for x in (bucket, number, room, doc)]
+        first = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], 0)]))
+        times = np.diff(np.append(first, len(order)))
+        bucket, number, room, doc = (x[first] for x in columns)
+    doc, room, number, bucket = doc.astype(np.uint32), room.astype(np.uint32), number.astype(np.int64), bucket.astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         heads = np.flatnonzero(np.concatenate([[True], number[a + 1 : b] != number[a : b - 1]]))
@@ -145,12 +156,12 @@ class Totals:
         return (customers - self.root_discount * tables + new / (self.words + 1)) / (self.root_strength + self.root_customers)
 
 
-def log_stirling(discount: float) -> np.ndarray:
-    """Logarithms of generalised Stirling numbers S(c, t) up to EXACT."""
-    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers S(c, t) up to most."""
+    out = np.full((most + 1, most + 1), -np.inf)
     out[0, 0] = 0
-    for c in range(1, EXACT + 1):
-        stay = np.log(np.maximum(c - 1 - discount * np.arange(1, EXACT + 1), 1e-300)) + out[c - 1, 1:]
+    for c in range(1, most + 1):
+        stay = np.log(np.maximum(c - 1 - discount * np.arange(1, most + 1), 1e-300)) + out[c - 1, 1:]
         stay[c - 1 :] = -np.inf
         out[c, 1:] = np.logaddexp(out[c - 1, :-1], stay)
     return out
@@ -159,28 +170,58 @@ def log_stirling(discount: float) -> np.ndarray:
 def seat(customers: np.ndarray, base: np.ndarray, others: np.ndarray, strength: float, discount: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish given its customers, its base probability and the restaurant's tables of other dishes."""
     out = np.ones(len(customers), np.int64)
-    first = np.minimum(customers, EXACT)
-    for c in np.unique(first[first > 1]).tolist():
-        rows = np.flatnonzero(first == c)
-        for a in range(0, len(rows), 50_000):
-            part = rows[a : a + 50_000]
+    most = len(stirling) - 1
+
+    def draw(c: int, rows: np.ndarray, tilt: np.ndarray | None = None) -> np.ndarray:
+        """From the exact conditional of c customers; with tilt, times exp(tilt) for each table."""
+        parts, step = [], max(1, 1_000_000 // c)
+        for a in range(0, len(rows), step):
+            part = rows[a : a + step]
             steps = np.log(strength + discount * (others[part][:, None] + np.arange(c))) + np.log(base[part])[:, None]
+            if tilt is not None:
+                steps += tilt[a : a + step][:, None]
             weight = stirling[c, 1 : c + 1] + np.cumsum(steps, 1)
             total = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
-            out[part] = 1 + (total < (rng.random(len(part)) * total[:, -1])[:, None]).sum(1)
-    rows = np.flatnonzero(customers > EXACT)
-    at = np.full(len(rows), float(EXACT))
-    while len(rows):
-        room = at - discount * out[rows]
-        a = (strength + discount * (others[rows] + out[rows])) * base[rows]
-        wait = room * np.expm1(np.minimum(-np.log(rng.random(len(rows))) / a, 60.0))
-        at = at + np.floor(wait) + 1
-        on = at <= customers[rows]
-        rows, at = rows[on], at[on]
-        out[rows] += 1
+            parts.append(1 + (total < (rng.random(len(part)) * total[:, -1])[:, None]).sum(1))
+        return np.concatenate(parts)
+
+    for c in np.unique(customers[(customers > 1) & (customers <= most)]).tolist():
+        rows = np.flatnonzero(customers == c)
+        out[rows] = draw(c, rows)
+    many = np.flatnonzero(customers > most)
+    if not len(many):
+        return out
+    # The rest comes one table after another, in trials of which one is taken by importance weights. A table at the n-th of
+    # c customers makes all later ones less likely, by about (n / c) ** power; new tables are drawn so much more rarely.
+    rows = np.repeat(many, TRIALS)
+    c = customers[rows].astype(float)
+    power = np.maximum(discount * (1 - base[rows]), 1e-6)
+    tilt = power * np.log(most / c)
+    tables, at, x = draw(most, rows, tilt), np.full(len(rows), float(most)), (most / c) ** power
+    weight = -tilt * tables
+    alive = np.arange(len(rows))
+    while len(alive):
+        r, t, n, p = rows[alive], tables[alive], at[alive], power[alive]
+        new = (strength + discount * (others[r] + t)) * base[r]
+        upto = x[alive] + rng.exponential(size=len(alive)) * p / new
+        on = upto < 1
+        upto = np.minimum(upto, 1.0)
+        after = c[alive] * upto ** (1 / p)
+        weight[alive] += log_gamma(after - discount * t) - log_gamma(n - discount * t) + (upto - x[alive]) * new / p
+        weight[alive] += np.where(on, -np.log(upto) - np.log1p(-(1 + discount * t) / after), 0)
+        at[alive], x[alive] = after, upto
+        tables[alive[on]] += 1
+        alive = alive[on]
+    chosen = (weight.reshape(-1, TRIALS) + rng.gumbel(size=(len(many), TRIALS))).argmax(1)
+    out[many] = tables.reshape(-1, TRIALS)[np.arange(len(many)), chosen]
     return out
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """For numbers of some tens and more."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x)
+
+
 def sample_strength(now: float, discount: float, customers: np.ndarray, tables: np.ndarray, rng: np.random.Generator) -> float:
     """The concentration given all tables, by auxiliary variables; the sum of the many coin flips is taken at its mean."""
     full = customers > 1
@@ -210,8 +251,13 @@ def row(bucket: int, chunk: int, kind: int, blob: bytes) -> pa.RecordBatch:
 MODEL, TOKENS, INFO = 0, 1, 2
 
 
-def find_spread(docs: DataFrame, n: int) -> np.ndarray:
-    rows = docs.count()
+def size_of(docs: DataFrame) -> tuple[int, int]:
+    """Rows, and buckets for the bytes of their texts."""
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return rows, max(partitions(docs.sparkSession), -(-size // BUCKET))
+
+
+def find_spread(docs: DataFrame, rows: int, n: int) -> np.ndarray:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, off, _ in chunks(parts, CHUNK):
@@ -355,8 +401,8 @@ class Model:
 
 def train(docs: DataFrame, seed: int = 11) -> Model | None:
     """docs: text of training rows. None if there are none."""
-    n = partitions(docs.sparkSession)
-    spread = find_spread(docs, n)
+    rows, n = size_of(docs)
+    spread = find_spread(docs, rows, n)
     states = store(count(docs, spread, n), "lm-counts", "uncompressed")
     sums = add_up(states)
     if sums is None:
@@ -412,22 +458,24 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             turn += 1
 
     def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples: list[Totals] = shared.value
-        held: list[tuple[int, bytes]] = []
+        """The model's row comes first, so tokens pass one by one."""
+        rows = (x for b in parts for x in zip(*b.columns, strict=True))
         state: list[np.ndarray] = []
-        for b in parts:
-            for bucket, chunk, kind, blob in zip(*b.columns, strict=True):
-                if kind.as_py() == MODEL:
-                    state = unpack(blob.as_py())
-                elif kind.as_py() == INFO:
-                    yield row(bucket.as_py(), chunk.as_py(), INFO, blob.as_py())
-                else:
-                    held.append((chunk.as_py(), blob.as_py()))
-        if not held:
-            return
+        score_of = None
+        for bucket, chunk, kind, blob in rows:
+            if kind.as_py() == MODEL:
+                state = unpack(blob.as_py())
+            elif kind.as_py() == INFO:
+                yield row(bucket.as_py(), chunk.as_py(), INFO, blob.as_py())
+            else:
+                score_of = score_of or scorer(state)
+                yield row(0, chunk.as_py(), TOKENS, score_of(blob.as_py()))
+
+    def scorer(state: list[np.ndarray]) -> Callable[[bytes], bytes]:
+        samples: list[Totals] = shared.value
         distinct, sizes, room, customers, _, _, *seated = state or [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 5]
         heads = np.cumsum(sizes, dtype=np.int64) - sizes
-        keys = np.repeat(np.arange(len(distinct)), sizes) << 16 | room
+        keys = np.repeat(np.arange(len(distinct)), sizes) << ROOM_BITS | room
         count = np.add.reduceat(customers.astype(np.int64), heads) if len(distinct) else np.zeros(0, np.int64)
         own = ~np.isin(distinct, spread)
         at = np.searchsorted(spread, distinct[~own])
@@ -439,7 +487,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 roots.append(t.root(root_customers, root_tables))
         if samples:
             count[~own] = samples[0].spread_counts[at]
-        for chunk, blob in held:
+        def of(blob: bytes) -> bytes:
             docs_here, word, size, rooms, doc, times = unpack(blob)
             # a spread word may be known though this bucket has no training entry of it
             place, known = lookup(distinct, word)
@@ -450,7 +498,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 c = np.where(spread_known, samples[0].spread_counts[far], c)
             total, vocabulary = (samples[0].tokens, samples[0].words) if samples else (0, 0)
             base = np.repeat(np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1))), size)
-            entry, there = lookup(keys, np.repeat(number, size) << 16 | rooms)
+            entry, there = lookup(keys, np.repeat(number, size) << ROOM_BITS | rooms)
             p = np.zeros(len(rooms)) if samples else np.ones(len(rooms))
             for s, t in enumerate(samples):
                 up = np.full(len(word), float(t.root(np.zeros(1), np.zeros(1))[0]))
@@ -461,7 +509,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 seats = np.where(there, customers[entry] - t.discount * seated[2 * s][entry], 0) if len(keys) else 0
                 p += (seats + (t.strength + t.discount * t.tables[rooms]) * np.repeat(up, size)) / (t.strength + t.customers[rooms]) / len(samples)
             m = int(docs_here[0])
-            yield row(0, chunk, TOKENS, pack(np.bincount(doc, times * np.log10(p), m), np.bincount(doc, times * base, m), np.bincount(doc, times * np.repeat(c > 0, size), m).astype(np.uint32)))
+            return pack(np.bincount(doc, times * np.log10(p), m), np.bincount(doc, times * base, m), np.bincount(doc, times * np.repeat(c > 0, size), m).astype(np.uint32))
+
+        return of
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info: dict[int, list[np.ndarray]] = {}
@@ -481,7 +531,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     blobs = docs.select("doc_id", "held_out", "text").mapInArrow(split, BLOBS)
     if model:
         blobs = blobs.union(model.states.select("bucket", F.lit(0).cast("bigint").alias("chunk"), F.lit(MODEL).alias("kind"), "blob"))
-    partial = blobs.repartitionById(n, F.col("bucket")).mapInArrow(meet, BLOBS)
+    partial = blobs.repartitionById(n, F.col("bucket")).sortWithinPartitions("kind").mapInArrow(meet, BLOBS)
     home = (F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(F.lit((1 << 32) - 1))) % n
     return partial.repartitionById(n, home.cast("int")).mapInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 

@@ -344,6 +344,31 @@ def test_seating_follows_the_exact_conditional():
     assert many[0] == 1 and 1 <= many[1] <= many[2] < 100_000
 
 
+def test_seating_of_many_customers_is_close_to_exact():
+    """With the exact part cut to 64 customers, the mean of tables of up to 512 stays near the exact one."""
+    rng = np.random.default_rng(2)
+    for d in (0.3, 0.7):
+        exact, short = lm.log_stirling(d), lm.log_stirling(d, 64)
+        for c in (100, 512):
+            for base in (1e-4, 1e-2, 0.3):
+                args = np.full(4000, c), np.full(4000, base), np.full(4000, 20), 5.0, d
+                a, b = (lm.seat(*args, table, rng).mean() for table in (exact, short))
+                assert abs(a - b) < 0.1 * a + 0.1
+
+
+def test_grouping_is_the_same_by_either_sort(monkeypatch):
+    rng = np.random.default_rng(6)
+    word, room, doc = rng.integers(0, 9, 400).astype(np.uint64), rng.integers(0, 5, 400), np.sort(rng.integers(0, 7, 400))
+    none = np.zeros(0, np.uint64)
+    short = {b: [x.tolist() for x in a] for b, a in lm.grouped(word, room, doc, none, 4)}
+    entries = [(b, w, r, d, t) for b, (distinct, sizes, rooms, docs, times) in short.items() for w, r, d, t in zip(np.repeat(distinct, sizes).tolist(), rooms, docs, times, strict=True)]
+    import collections
+
+    assert collections.Counter({(w, r, d): t for _, w, r, d, t in entries}) == collections.Counter(zip(word.tolist(), room.tolist(), doc.tolist(), strict=True))
+    monkeypatch.setattr(lm, "RESTAURANTS", 1 << 60)
+    assert {b: [x.tolist() for x in a] for b, a in lm.grouped(word, room, doc, none, 4)} == short
+
+
 def test_tokens():
     word, room, doc = lm.tokens(*flat(["A b", None, "a"]))
     assert doc.tolist() == [0, 0, 0, 1, 2, 2] and word[0] == word[4] and word[2] == word[3] == word[5] == lm.END

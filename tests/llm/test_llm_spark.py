@@ -81,6 +81,50 @@ def test_lm_prefers_what_it_saw(spark):
     assert all(s < 0 for s in score.values()) and max(score, key=score.get) == 1 and score[4] < min(score[2], score[3])
 
 
+def test_lm_scores_by_plain_dictionaries(docs, rows):
+    """The seats of the kept samples, put in dictionaries, give each document's score."""
+    import numpy as np
+
+    from tarnlake.llm.common import utf8
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    split = docs.select(F.col("doc_id"), F.lit(False).alias("held_out"), "text")
+    model = lm.train(split.where("doc_id % 2 = 0").select("text"))
+    seats = [{} for _ in model.samples]
+    root = [{} for _ in model.samples]
+    customers = {}
+    for r in model.states.collect():
+        distinct, sizes, room, count, _, _, *kept = lm.unpack(r["blob"])
+        for k, (w, q) in enumerate(zip(np.repeat(distinct, sizes).tolist(), room.tolist(), strict=True)):
+            customers[w, q] = int(count[k])
+            for s in range(len(seats)):
+                seats[s][w, q] = int(kept[2 * s][k])
+        for s in range(len(seats)):
+            root[s] |= dict(zip(distinct.tolist(), kept[2 * s + 1].tolist(), strict=True))
+    for s, t in enumerate(model.samples):
+        root[s] |= dict(zip(model.spread.tolist(), t.spread_tables.tolist(), strict=True))
+    got = {r["doc_id"]: r["score"] for r in lm.score(split.where("doc_id is not null"), model).collect()}
+    texts = {i: t for i, t, *_ in rows[1] if i is not None}
+    for i, text in texts.items():
+        word, room, _ = lm.tokens(*utf8(pa.array([text], pa.string())))
+        want = 0.0
+        for w, q in zip(word.tolist(), room.tolist(), strict=True):
+            p = 0.0
+            for s, t in enumerate(model.samples):
+                at_root = sum(n for (x, _), n in seats[s].items() if x == w)
+                new = t.root_strength + t.root_discount * t.root_tables
+                base = (at_root - t.root_discount * root[s].get(w, 0) + new / (t.words + 1)) / (t.root_strength + t.root_customers)
+                mine = customers.get((w, q), 0) - t.discount * seats[s].get((w, q), 0)
+                p += (mine + (t.strength + t.discount * t.tables[q]) * base) / (t.strength + t.customers[q]) / len(model.samples)
+            want += math.log10(p)
+        if len(word) < 500:
+            assert got[i] == pytest.approx(want, rel=1e-9)
+    for s, t in enumerate(model.samples):  # what each restaurant's totals should be
+        for q in {q for _, q in customers}:
+            assert t.tables[q] == sum(n for (_, x), n in seats[s].items() if x == q) and t.customers[q] == sum(n for (_, x), n in customers.items() if x == q)
+
+
 def test_near_duplicates(docs, none):
     got = {(r["doc_id"], r["class_id"], r["keep"]) for r in neardup.near_duplicates(docs).collect()}
     classes = {i: c for i, c, _ in got if i is not None}
