@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tarnlake.llm.common import discard, partitions, pieces, remainder, store, utf8, with_columns
 from tarnlake.llm.words import mix, words
 
-ROOM_BITS = 18
+ROOM_BITS = 20
 RESTAURANTS = 1 << ROOM_BITS
 SWEEPS, KEPT = 4, 2
 #: Customers of a dish up to which its tables have their exact conditional.
