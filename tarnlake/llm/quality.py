@@ -225,7 +225,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns. Texts are read twice rather than shuffled."""
     columns = docs.columns
-    model = train(store(counted_documents(docs), "quality-counts"), labels)
+    counted = store(counted_documents(docs), "quality-counts")
+    model = train(counted, labels)
+    discard(counted)
     full = with_columns(docs, doc_id="bigint", text="string", source="string")
     host, path = sites(full)
     whole = full.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), host.alias("host"), path.alias("path"), count_udf()("text").alias("counts"))

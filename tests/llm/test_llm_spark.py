@@ -451,6 +451,39 @@ def test_toxicity_sample(spark, monkeypatch):
     assert 0 < sum(len(r["text"]) for r in toxicity.sample_of(docs, labels, 5000)) <= 900
 
 
+def test_operators_with_clashing_columns(docs, labels):
+    """Columns named as the operators' own helper and result columns stay as they are, and change nothing."""
+    from pyspark.sql import functions as F
+
+    names = ("host", "path", "counts", "own", "evidence", "keep_", "__toxic", "__name", "__turn", "id", "a", "b", "label", "signature", "class_id", "held_out", "predicted", "fingerprint", "helper", "at", "code", "word", "kind", "bucket")
+    clash = docs.withColumns({n: F.lit(f"x{n}") for n in names})
+    plain = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert plain(quality.classify(clash, labels)) == plain(quality.classify(docs, labels))
+    assert plain(toxicity.classify(clash, labels)) == plain(toxicity.classify(docs, labels))
+    assert plain(fingerprint.compare_edited(clash)) == plain(fingerprint.compare_edited(docs))
+    assert plain(neardup.near_duplicates(clash)) == plain(neardup.near_duplicates(docs))
+    for kept in (quality.keep_good(clash, labels), toxicity.keep_clean(clash, labels), neardup.keep_one(clash)):
+        assert kept.columns == clash.columns and {r["path"] for r in kept.select("path").collect()} <= {"xpath"}
+
+
+def test_operators_with_a_very_long_text(spark):
+    """A text of three megabytes between short ones goes whole through every operator on documents."""
+    rng = random.Random(61)
+    long = " ".join(rng.choices(VOCABULARY, k=500_000))
+    rows = [(i, prose(40)) for i in range(2, 12)] + [(0, long), (1, long[:-6] + " other")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(12)], "doc_id bigint, quality int, toxic int")
+    classes = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert classes[1] == 0 and all(classes[i] == i for i in range(2, 12))
+    tokens = {r["doc_id"]: r["n_tokens"] for r in lm.score_documents(docs).collect()}
+    assert tokens[0] == 500_001
+    near = {r["doc_id"]: r for r in fingerprint.compare_edited(docs).collect()}
+    assert near[0]["n_chars"] == len(long) and near[1]["near_next"] > 0.99
+    assert quality.classify(docs, labels).count() == toxicity.classify(docs, labels).count() == 12
+    item = spark.createDataFrame([(1, " ".join(long.split()[400_000:400_050]))], "item_id bigint, text string")
+    assert {(r["doc_id"], r["start"]) for r in decontaminate.leaks(docs, item).collect()} == {(0, 400_000), (1, 400_000)}
+
+
 def test_labels_column_changes_no_score(docs, labels):
     from pyspark.sql import functions as F
 
