@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import fresh, pieces, remainder, utf8, with_columns
+from tarnlake.llm.common import discard, fresh, pieces, remainder, store, utf8, with_columns
 from tarnlake.llm.words import Words, mix, words
 
 #: Labelled documents of each kind that the model is fitted on, about, and the bytes of their texts at most.
@@ -249,6 +249,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int) -> list:
     bound = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(int(min(1.0, sample / n) * (1 << 40)))) for k, n in many.items()], F.lit(0))
     chosen = labels.withColumn("at", at).where(F.col("at") < bound)
     rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"), F.first("at").alias("at"))
+    rows = store(rows, "toxicity-sample")
     sizes = sorted((r["at"], r["doc_id"], r["size"]) for r in rows.select("at", "doc_id", F.octet_length("text").alias("size")).collect())
     room, fit_in = BYTES, []
     for _, key, size in sizes:
@@ -256,7 +257,9 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int) -> list:
             room -= size
             fit_in.append(key)
     ids = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in fit_in], "doc_id bigint"))
-    return sorted(rows.join(ids, "doc_id").collect(), key=lambda r: r["doc_id"])
+    found = sorted(rows.join(ids, "doc_id").collect(), key=lambda r: r["doc_id"])
+    discard(rows)
+    return found
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cnn:
