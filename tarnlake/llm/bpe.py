@@ -30,8 +30,8 @@ from tarnlake.llm.words import RANDOM, SLOTS, STEP
 
 #: Bytes from which a word is merged apart from shorter ones, which need fewer rounds.
 LONG = 1024
-KEPT = 500_000
-CHUNK = 2 << 20
+KEPT = 250_000
+CHUNK = 1 << 19
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 

@@ -60,7 +60,7 @@ WHOLE = 512
 BROADCAST_ROWS, SALTS = 200_000, 16
 #: Stored tables of comparisons that are read side by side.
 TABLES = 8
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Of a shingle's hash. Above them stands the number of its text in a chunk, so that one sort serves a chunk.
 BITS = 48
 UNIT = 1.0 / (1 << 53)

@@ -33,7 +33,7 @@ SAMPLE = 20_000
 RIDGE = 1.0
 #: Rows of about 100 bytes of the table of site rates that may be broadcast.
 BROADCAST_ROWS = 100_000
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 UPPER, ALPHA, DIGIT, MARK, LINE = (np.zeros(256, bool) for _ in range(5))
 UPPER[65:91] = True

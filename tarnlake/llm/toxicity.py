@@ -35,7 +35,7 @@ STEPS = 256
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6)
 EPOCHS, RATE = 3, 0.05
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Frequent function words by language.
 FUNCTION_WORDS = {
     "de": "der die und das den von ist mit nicht ein eine zu auf für sich dem",
