@@ -354,9 +354,10 @@ def classified(docs: DataFrame, threshold: float) -> DataFrame:
     keyed = bands(classes)
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = store(keyed.join(shared, "key", "left_semi"), "neardup-buckets")
-    ids = buckets.select("id").distinct()
-    texts = docs.where("doc_id is not null").select(digest(F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = store(texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "neardup-texts")
+    # one row of each text, found by its smallest doc_id too, so that copies don't meet
+    one = classes.select("id", F.col("doc").alias("doc_id")).join(buckets.select("id").distinct(), "id", "left_semi")
+    texts = docs.where("doc_id is not null").select(digest(F.col("text")).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = store(texts.join(one, ["id", "doc_id"], "left_semi").groupBy("id").agg(F.first("text").alias("text")), "neardup-texts")
     labels = linked(texts, buckets, threshold)
     # only texts that stand in several rows or have a link need a lookup
     if labels is None:
