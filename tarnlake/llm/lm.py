@@ -21,8 +21,10 @@ training rows every probability is one. Extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +158,15 @@ class Totals:
         return (customers - self.root_discount * tables + new / (self.words + 1)) / (self.root_strength + self.root_customers)
 
 
+def dense(x: object) -> bytes:
+    """Totals in few bytes, since most restaurants have few customers: each broadcast lies on every machine's disk."""
+    return zstandard.compress(pickle.dumps(x), 3)
+
+
+def undense(raw: bytes) -> Any:
+    return pickle.loads(zstandard.decompress(raw))
+
+
 def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
     """Logarithms of generalised Stirling numbers S(c, t) up to most."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -356,10 +367,10 @@ def add_up(states: DataFrame) -> np.ndarray | None:
 
 def sweep(states: DataFrame, totals: Totals, spread: np.ndarray, seed: int, keep: bool) -> DataFrame:
     """The states after a Gibbs sweep; with keep, its tables are appended to the kept samples."""
-    shared = states.sparkSession.sparkContext.broadcast(totals)
+    shared = states.sparkSession.sparkContext.broadcast(dense(totals))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
+        t = undense(shared.value)
         stirling, root_stirling = log_stirling(t.discount), log_stirling(t.root_discount)
         for b in parts:
             for bucket, blob in zip(b.column("bucket"), b.column("blob"), strict=True):
@@ -445,7 +456,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     spark = docs.sparkSession
     n = model.buckets if model else partitions(spark)
     spread = model.spread if model else np.zeros(0, np.uint64)
-    shared = spark.sparkContext.broadcast(model.samples if model else [])
+    shared = spark.sparkContext.broadcast(dense(model.samples if model else []))
+    total = model.samples[0].tokens if model else 0
 
     def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, turn = TaskContext.get().partitionId() << 32, 0
@@ -472,7 +484,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield row(0, chunk.as_py(), TOKENS, score_of(blob.as_py()))
 
     def scorer(state: list[np.ndarray]) -> Callable[[bytes], bytes]:
-        samples: list[Totals] = shared.value
+        samples: list[Totals] = undense(shared.value)
         distinct, sizes, room, customers, _, _, *seated = state or [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 5]
         heads = np.cumsum(sizes, dtype=np.int64) - sizes
         keys = np.repeat(np.arange(len(distinct)), sizes) << ROOM_BITS | room
@@ -523,7 +535,6 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     info[chunk] = got
                 else:
                     sums[chunk] = [x + y for x, y in zip(sums[chunk], got, strict=True)] if chunk in sums else got
-        total = shared.value[0].tokens if shared.value else 0
         for chunk, (ids, none, held_out, size) in info.items():
             score, base, known = sums[chunk]
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=none), pa.array(held_out), pa.array(size), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), total)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
