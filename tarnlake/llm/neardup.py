@@ -13,14 +13,13 @@ of copies meet no join. Buckets are never compared as all pairs. The member of a
 its head, and all others are compared with it. With x, y and h as sets of shingles, let D(x) be the shingles that x has more
 or less than the head h. If x and y are linked, D(x) and D(y) share a shingle, or both are linked to h: else the common part
 of x and y is in h, and h in their union, so that both have a similarity of t to h. So the members of a star that holds more
-than one component meet again in finer buckets by (h, shingle of D), as stars around new heads, until no pair is new. Heads
-of finer buckets come later in the order, so this ends, and every link between members of a bucket ends in one component:
-none is capped. Not all of D is needed: D(x) and D(y) differ in no more shingles than x and y do, which if they are linked is
-at most d = (1 - t) / (1 + t) (|x| + |y|) <= k = (1 - t) / t |x|. They have (|D(x)| + |D(y)| - d) / 2 shingles in common then,
-so by any order one of the first (|D(x)| - |D(y)| + d) / 2 + 1 <= k + 1 of D(x) and as many of D(y) is; the order is from rare
-to frequent within the star. Of finer buckets with up
-to WHOLE members, the pairs of different components that these bounds leave open are compared at once, which saves rounds
-and finds the same.
+than one component meet again in finer buckets by (h, shingle of D), and every link between members of a bucket ends in one
+component: none is capped. Not all of D is needed: D(x) and D(y) differ in no more shingles than x and y do, which if they are
+linked is at most d = (1 - t) / (1 + t) (|x| + |y|) <= k = (1 - t) / t |x|. They have (|D(x)| + |D(y)| - d) / 2 shingles in
+common then, so by any order one of the first (|D(x)| - |D(y)| + d) / 2 + 1 <= k + 1 of D(x) and as many of D(y) is; the order
+is from rare to frequent within the star. Of finer buckets, whatever their size, the pairs of different components that these
+bounds leave open are compared in one round. The bounds are tried on a few numbers of each pair, without texts or joined rows;
+buckets of more than WHOLE members are dealt to tasks as pairs of blocks. So the number of rounds doesn't grow with the groups.
 
 A star is compared in blocks of BLOCK members, each with the head's text once. Components come from label propagation over
 the new links between the components so far. Lookups by a hot name deal it to SALTS tasks; nothing of the texts, pairs or
@@ -35,8 +34,8 @@ class and are kept. An empty table gives none. Other columns pass through.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +53,13 @@ REGISTERS = BANDS * ROWS
 EXTRA = 0.125
 #: Members of a star that are compared in one go.
 BLOCK = 256
-#: Members of a finer bucket up to which its open pairs are compared at once rather than as a star; either way loses no link.
+#: Members of a block of a finer bucket; a task tries the bounds on a block, or on two blocks against each other.
 WHOLE = 512
+#: Pairs that the bounds are tried on in one go.
+PAIRS = 1 << 18
 #: Rows of 32 bytes of a table that may be broadcast, and tasks that a hot name of a larger one is dealt to.
 BROADCAST_ROWS, SALTS = 200_000, 16
-#: Stored tables of comparisons that are read side by side.
+#: Stored tables of comparisons that were read side by side; of no effect since one round serves, and kept for those who set it.
 TABLES = 8
 CHUNK = 1 << 18
 #: Of a shingle's hash. Above them stands the number of its text in a chunk, so that one sort serves a chunk.
@@ -259,85 +260,105 @@ def stars(buckets: DataFrame, degrees: DataFrame) -> DataFrame:
     return buckets.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def finer(checked: DataFrame, heads: DataFrame, labels: DataFrame | None, t: float) -> DataFrame:
-    """(key, id, label, size, more, less, rank, n): buckets of n members of one star that have the same shingle more, or less, than its head; of stars and buckets with one component there are none. more, less: how many; rank: of the shingle among the member's, from rare to frequent."""
-    star = checked.join(heads, "a", "left_semi")
+def finer(checked: DataFrame, labels: DataFrame | None, t: float) -> DataFrame:
+    """(key, id, label, size, more, less, rank, n): buckets of at most n members of one star that have the same shingle more, or less, than its head; of stars and buckets with one component there are none. more, less: how many; rank: of the shingle among the member's, from rare to frequent."""
     if labels is None:
-        star = star.withColumns({"la": F.col("a"), "lb": F.col("b")})
+        star = checked.withColumns({"la": F.col("a"), "lb": F.col("b")})
     else:
-        star = looked_up(looked_up(star, "a", labels, "la", "a"), "b", labels, "lb", "b")
+        star = looked_up(looked_up(checked, "a", labels, "la", "a"), "b", labels, "lb", "b")
     star = star.select("a", "b", "more", "less", "size", F.xxhash64("la").alias("la"), F.xxhash64("lb").alias("label"))
     # a star with one component needs no other look; of others, all members
     several = store(star.where("la <> label").select("a").distinct(), "neardup-several")
     star = star.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "a", "left_semi")
     keys = F.array_union(F.transform("more", lambda x: F.xxhash64(F.lit(1), x)), F.transform("less", lambda x: F.xxhash64(F.lit(2), x)))
     apart = star.select("a", "b", "label", "size", F.size("more").alias("more"), F.size("less").alias("less"), F.explode(keys).alias("shingle"))
-    apart = store(apart.select("*", F.xxhash64("a", "shingle").alias("key")), "neardup-apart")
-    times = apart.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "key"))
+    apart = store(apart.withColumn("key", F.xxhash64("a", "shingle")).drop("shingle"), "neardup-apart")
+    # a member's shingles that no other has come first in the order and make no bucket, so its others are counted from the end
+    times = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("mixed")).where("n > 1")
+    last = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("n"), F.desc("key")))
+    ranked = apart.join(times, "key").withColumn("rank", F.col("more") + F.col("less") + 1 - last)
     k = F.col("size") * ((1 - t) / t) + 1e-6
-    keyed = apart.join(times, "key").withColumn("rank", rank).where(F.col("rank") <= F.floor(k) + 1)
-    keyed = store(keyed.select("key", F.col("b").alias("id"), "label", "size", "more", "less", "rank"), "neardup-keyed")
-    shared = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
-    out = store(keyed.join(shared, "key"), "neardup-finer")
-    for scratch in (several, apart, keyed):
+    out = ranked.where(F.col("mixed") & (F.col("rank") <= F.floor(k) + 1)).select("key", F.col("b").alias("id"), "label", "size", "more", "less", "rank", "n")
+    out = store(out, "neardup-finer")
+    for scratch in (several, apart):
         discard(scratch)
     return out
 
 
+def open_pairs(group: np.ndarray, alone: np.ndarray, second: np.ndarray, label: np.ndarray, rows: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of different labels that the bounds leave open: all of a group that stands alone, of others those of a first and a second member. Members are ordered by (group, second, label); rows: their size, more, less and rank."""
+    n = len(group)
+    at = group * n + np.unique(label, return_inverse=True)[1]
+    one, first, other = np.flatnonzero(alone), np.flatnonzero(~alone & ~second), np.flatnonzero(~alone & second)
+    # runs of partners: those of the same label lie together and are left out
+    runs = [(one, one, np.searchsorted(at[one], at[one], "right"), np.searchsorted(at[one], (group[one] + 1) * n))]
+    runs.append((first, other, np.searchsorted(at[other], group[first] * n), np.searchsorted(at[other], at[first])))
+    runs.append((first, other, np.searchsorted(at[other], at[first], "right"), np.searchsorted(at[other], (group[first] + 1) * n)))
+    for own, partner, low, high in runs:
+        off = np.append(0, np.cumsum(high - low))
+        for p, q in pieces(off, PAIRS, n):
+            many = high[p:q] - low[p:q]
+            i = np.repeat(own[p:q], many)
+            j = partner[np.arange(off[p], off[q]) + np.repeat(low[p:q] - off[p:q], many)]
+            (size, more, less, rank), (size_, more_, less_, rank_) = rows[:, i], rows[:, j]
+            most = (1 - t) / (1 + t) * (size + size_) + 1e-6
+            differ = np.abs(more - more_) + np.abs(less - less_)
+            longer = more + less - more_ - less_
+            # so many of each one's first shingles hold a common one
+            fits = (differ <= most) & (rank <= (longer + most) / 2 + 1) & (rank_ <= (most - longer) / 2 + 1)
+            yield i[fits], j[fits]
+
+
 def within(buckets: DataFrame, t: float) -> DataFrame:
-    """Pairs (a, b) of members of different components that the bounds leave open, of the buckets of up to WHOLE members."""
-    few = buckets.where(F.col("n") <= WHOLE).drop("n")
-    other = few.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "label", "size", "more", "less", "rank")])
-    most = (1 - t) / (1 + t) * (F.col("size") + F.col("size_")) + 1e-6
-    differ = F.abs(F.col("more") - F.col("more_")) + F.abs(F.col("less") - F.col("less_"))
-    longer = F.col("more") + F.col("less") - F.col("more_") - F.col("less_")
-    # so many of each one's first shingles hold a common one
-    early = (F.col("rank") <= (longer + most) / 2 + 1) & (F.col("rank_") <= (most - longer) / 2 + 1)
-    found = few.join(other, "key").where((F.col("id") < F.col("id_")) & (F.col("label") != F.col("label_")) & (differ <= most) & early)
-    return found.select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
+    """Pairs (a, b) of members of different components that the bounds leave open. A bucket of up to n members is dealt as the pairs of its n / WHOLE blocks, each with itself too."""
+    blocks = F.ceil(F.col("n") / max(1, WHOLE)).cast("int")
+    dealt = buckets.withColumns({"own": F.pmod(F.xxhash64("id"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"), "label", "id", "size", "more", "less", "rank")
+    groups = ["key", "low", "high"]
+    together = dealt.repartition(partitions(buckets.sparkSession), *groups).sortWithinPartitions(*groups, "second", "label")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in itertools.chain(parts, [None]):
+            filled = [x for x in (rest, batch) if x is not None and x.num_rows]
+            if not filled:
+                continue
+            held = pa.Table.from_batches(filled)
+            key, low, high = (held.column(c).to_numpy() for c in groups)
+            new = np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+            # the last group may go on in the next batch
+            upto = held.num_rows if batch is None else int(np.flatnonzero(new)[-1])
+            whole, rest = held.slice(0, upto), held.slice(upto).combine_chunks().to_batches()
+            rest = rest[0] if rest else None
+            if upto:
+                ids = whole.column("id").combine_chunks()
+                rows = np.stack([whole.column(c).to_numpy().astype(np.int32) for c in ("size", "more", "less", "rank")])
+                second = whole.column("second").to_numpy().astype(bool)
+                for i, j in open_pairs(np.cumsum(new[:upto]) - 1, (low == high)[:upto], second, whole.column("label").to_numpy(), rows, t):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)).cast(pa.binary()) for x in (i, j)], ["a", "b"])
+
+    found = together.mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked(texts: DataFrame, buckets: DataFrame, threshold: float) -> DataFrame | None:
     """(id, value): the component of every id that has a link within a bucket (key, id), or None if there are no links."""
     size = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     degrees = store(buckets.join(size, "key").groupBy("id").agg(F.sum("n").alias("degree")), "neardup-degrees")
-    tables: list[DataFrame] = []
-    seen: DataFrame | None = None
-    labels, rounds, several = None, buckets, None
-    while True:
-        pairs = stars(rounds, degrees)
-        for t in tables:
-            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = store(pairs, "neardup-pairs")
-        if several is not None:
-            discard(several)
-        if not pairs.limit(1).count():
-            break
+    pairs = store(stars(buckets, degrees), "neardup-pairs")
+    labels, scratch = None, [degrees, pairs]
+    if pairs.limit(1).count():
         checked = compare(pairs, texts)
-        labels = with_links(labels, checked, threshold)
-        heads = store(pairs.select("a").distinct(), "neardup-heads")
-        tables.append(checked)
-        if len(tables) > TABLES:
-            whole = store(reduce(DataFrame.union, tables), "neardup-checked")
-            for t in tables:
-                discard(t)
-            tables = [whole]
-        several = finer(reduce(DataFrame.union, tables), heads, labels, threshold)
-        found = within(several, threshold)
-        if seen is not None:
-            found = found.join(seen, ["a", "b"], "left_anti")
-        found = store(found, "neardup-within")
+        labels = with_links(None, checked, threshold)
+        several = finer(checked, labels, threshold)
+        found = store(within(several, threshold), "neardup-within")
+        scratch += [checked, several, found]
         if found.limit(1).count():
-            checked = compare(found, texts, False)
-            labels = with_links(labels, checked, threshold)
-            discard(checked)
-        before, seen = seen, store(found if seen is None else seen.union(found), "neardup-seen")
-        for scratch in (pairs, heads, found, *([before] if before is not None else [])):
-            discard(scratch)
-        rounds = several.where(F.col("n") > WHOLE).select("key", "id")
-    for scratch in (pairs, degrees, *tables, *([seen] if seen is not None else [])):
-        discard(scratch)
+            again = compare(found, texts, False)
+            labels = with_links(labels, again, threshold)
+            scratch.append(again)
+    for x in scratch:
+        discard(x)
     return labels
 
 

@@ -356,6 +356,30 @@ def test_seating_of_many_customers_is_close_to_exact():
                 assert abs(a - b) < 0.1 * a + 0.1
 
 
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 18])
+def test_open_pairs_against_all_pairs(monkeypatch, pairs):
+    monkeypatch.setattr(neardup, "PAIRS", pairs)
+    rng = np.random.default_rng(5)
+    n, t = 160, 0.8
+    group, second, label = rng.integers(0, 9, n), rng.random(n) < 0.5, rng.integers(-3, 3, n)
+    alone = group % 3 == 0
+    second &= ~alone
+    order = np.lexsort((label, second, group))
+    group, alone, second, label = (x[order] for x in (group, alone, second, label))
+    group = np.unique(group, return_inverse=True)[1]
+    rows = np.stack([rng.integers(20, 40, n), rng.integers(0, 8, n), rng.integers(0, 8, n), rng.integers(1, 10, n)]).astype(np.int32)
+    brute = set()
+    for i in range(n):
+        for j in range(n):
+            if group[i] == group[j] and label[i] != label[j] and (i < j if alone[i] else not second[i] and second[j]):
+                (size, more, less, rank), (size_, more_, less_, rank_) = rows[:, i].tolist(), rows[:, j].tolist()
+                most, longer = (1 - t) / (1 + t) * (size + size_) + 1e-6, more + less - more_ - less_
+                if abs(more - more_) + abs(less - less_) <= most and rank <= (longer + most) / 2 + 1 and rank_ <= (most - longer) / 2 + 1:
+                    brute.add((i, j))
+    got = [(int(i), int(j)) for x, y in neardup.open_pairs(group, alone, second, label, rows, t) for i, j in zip(x, y, strict=True)]
+    assert len(got) == len(set(got)) and set(got) == brute and len(brute) > 100
+
+
 def test_grouping_is_the_same_by_either_sort(monkeypatch):
     rng = np.random.default_rng(6)
     word, room, doc = rng.integers(0, 9, 400).astype(np.uint64), rng.integers(0, 5, 400), np.sort(rng.integers(0, 7, 400))

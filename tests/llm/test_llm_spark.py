@@ -209,6 +209,29 @@ def test_every_link_in_a_bucket_is_found(spark, monkeypatch, bounds):
     assert [got[i] for i in range(len(texts))] == components_of(sets)
 
 
+def test_rounds_of_near_duplicates_do_not_grow_with_groups(spark, monkeypatch):
+    """Buckets of many times WHOLE members, most of them near no other: a star and one comparison of open pairs find all links."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "bands", lambda classes: classes.select(F.lit(1).cast("bigint").alias("key"), "id"))
+    monkeypatch.setattr(neardup, "WHOLE", 2)
+    calls, compare = [], neardup.compare
+    monkeypatch.setattr(neardup, "compare", lambda *args: calls.append(args) or compare(*args))
+    rng = random.Random(7)
+    main = [f"m{i}" for i in range(90)]
+    texts = [main]
+    for i in range(40):
+        own = list(main)
+        for k in rng.sample(range(9), 3) if i % 4 else [0, 4, 8]:  # of nine places, so that many lack the same shingles
+            own[k * 10] = f"o{i % 10}x{k}"
+        texts.append(own)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == components_of(sets)
+    assert len(set(got.values())) > 5 and len(calls) == 2
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Rows of one id with other texts are told apart by their text; what is kept doesn't depend on the order of rows."""
     other = prose(60)
