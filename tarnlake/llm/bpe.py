@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -277,7 +277,19 @@ def read_vocabulary(path: str) -> str:
 def joined_lists(rows: list[np.ndarray]) -> pa.Array:
     off = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(x) for x in rows], out=off[1:])
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32, copy=False)))
+
+
+def joined_texts(rows: Iterable[bytes]) -> pa.Array:
+    """Texts in UTF-8 as one column, made in runs of about CHUNK bytes, so that a batch isn't held as single objects too."""
+    done, part, size = [], [], 0
+    for x in rows:
+        part.append(x)
+        size += len(x)
+        if size >= CHUNK:
+            done.append(pa.array(part, pa.binary()).cast(pa.string()))
+            part, size = [], 0
+    return pa.concat_arrays([*done, pa.array(part, pa.binary()).cast(pa.string())])
 
 
 def lists_of(col: pa.Array) -> Iterator[np.ndarray]:
@@ -292,6 +304,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids")
 
     @F.arrow_udf("array<int>")
     def run(col: pa.Array) -> pa.Array:
+        pa.default_memory_pool().release_unused()  # what the batch before has left
         bpe = model(shared.value)
         return joined_lists([x for part in batches(col) for x in bpe.encode(part)])
 
@@ -305,7 +318,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
     @F.arrow_udf("string")
     def run(col: pa.Array) -> pa.Array:
         bpe = model(shared.value)
-        return pa.array([bpe.decode(x).decode() for x in lists_of(col)], pa.string())
+        return joined_texts(bpe.decode(x) for x in lists_of(col))
 
     return df.withColumn(out, run(F.col(ids)))
 

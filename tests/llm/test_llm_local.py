@@ -73,6 +73,14 @@ def test_bpe_special_tokens_and_long_runs(both):
     assert ours.decode(np.array([ours.single[0xFF]])) == "�".encode()
 
 
+@pytest.mark.parametrize("rows", [[], [b""], ["\u00e9".encode() * 20, b"", b"abc"], [b"x"] * 30])
+def test_bpe_texts_are_joined_in_runs(monkeypatch, rows):
+    """Runs of CHUNK bytes make the same column as all rows at once."""
+    monkeypatch.setattr(bpe, "CHUNK", 8)
+    got = bpe.joined_texts(iter(rows))
+    assert got.type == "string" and got.to_pylist() == [x.decode() for x in rows]
+
+
 def test_bpe_merges_long_runs_as_short_ones(both, monkeypatch):
     """Runs of any length take the same rounds: the bound between batches changes no id."""
     ours, library = both
